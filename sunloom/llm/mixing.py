@@ -193,3 +193,17 @@ def mix(
         .select("doc_id", "members", "size", "source_size", "target", F.least("copies", F.lit(most)).cast("long").alias("copies"))
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
+
+
+def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix itself: rows of ``df`` that are taken, as often as they are taken.
+
+    Rows equal in key and membership are one document of the mix; if repeats of
+    one fall on both sides of a cut, all of them take the larger number.
+    """
+    source = options.get("members") if options.get("members") is not None else F.array("source")
+    chosen = mix(df, key, text, **options).groupBy("doc_id", "members").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    chosen = chosen.select(F.struct(F.col("doc_id").alias("k"), F.to_json("members").alias("m")).alias("__of"), "__copies")
+    own = F.struct(F.col(key).alias("k"), F.to_json(F.array_sort(F.array_distinct(source))).alias("m"))
+    joined = df.withColumn("__own", own).join(chosen, F.col("__own").eqNullSafe(F.col("__of")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])

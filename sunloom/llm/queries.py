@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sunloom.llm import chat, exact_dedup, lm, mixing, sharding, simhash
+from sunloom.llm import chat, decontam, exact_dedup, html_text, langid, lm, mixing, quality, sharding, simhash
 from sunloom.llm.common import table
 
 
@@ -21,6 +20,14 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,7 +42,29 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs).select("doc_id", "shard", "shard_depth", "n_bytes", "oversized")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat_format, op3_lm_score, op6_exact_dedup, op7_simhash, op8_sharding)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_chat_format,
+        op3_lm_score,
+        op4_language,
+        op5_html_text,
+        op6_exact_dedup,
+        op7_simhash,
+        op8_sharding,
+        op9_quality,
+        op10_decontamination,
+    )
+}
 
 CHAT_SQL = """
 WITH turns AS (
