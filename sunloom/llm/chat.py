@@ -22,6 +22,11 @@ def render_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN_OPEN), role, F.lit(TURN_MIDDLE), text, F.lit(TURN_CLOSE))
 
 
+def render_text(role: str, text: str) -> str:
+    """``render_turn`` for strings."""
+    return f"{TURN_OPEN}{role}{TURN_MIDDLE}{text}{TURN_CLOSE}"
+
+
 def ordered_turns(df: DataFrame) -> DataFrame:
     """One row per conversation with its turns in order and the rolling hash after each of them."""
     turns = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()

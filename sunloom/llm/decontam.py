@@ -72,49 +72,59 @@ def _parts(word: bytes) -> list[tuple[int, int, bool]]:
     return [(UNIT if low in UNITS else LITERAL, _hash(low), name)]
 
 
+class Columns:
+    """Arrays that grow at their ends."""
+
+    def __init__(self, *kinds: str) -> None:
+        self.arrays, self.size = [np.zeros(1024, k) for k in kinds], 0
+
+    def extend(self, *columns: list) -> None:
+        end = self.size + len(columns[0])
+        if end > len(self.arrays[0]):
+            self.arrays = [np.concatenate([a, np.zeros(max(end, len(a)), a.dtype)]) for a in self.arrays]
+        for a, c in zip(self.arrays, columns, strict=True):
+            a[self.size : end] = c
+        self.size = end
+
+
 class Canonicaliser:
-    """Texts as arrays of template hashes, kinds and value hashes."""
+    """Texts as arrays of template hashes, kinds and value hashes. Words are remembered up to a fixed number."""
 
     def __init__(self, most: int = 200_000) -> None:
-        self.known: dict[bytes, int] = {}
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.known.clear()
-        self.kind: list[int] = []
-        self.value: list[int] = []
-        self.name: list[bool] = []
-        self.first: list[int] = []
-        self.many: list[int] = []
-        self.ends: list[bool] = []
+        self.known: dict[bytes, int] = {}
+        #: Of each word: its first token, how many it has, whether it ends a sentence. Of each token: kind, value, could be a name.
+        self.words = Columns("i8", "i8", "?")
+        self.tokens = Columns("i8", "u8", "?")
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts = [_parts(w) for w in words]
+        many = [len(p) for p in parts]
+        first = (np.cumsum([0, *many[:-1]]) + self.tokens.size).tolist()
+        for i, w in enumerate(words, len(self.known)):
+            self.known[w] = i
+        self.words.extend(first, many, [bool(_ENDS.search(w)) for w in words])
+        flat = [t for p in parts for t in p]
+        self.tokens.extend([t[0] for t in flat], np.array([t[1] for t in flat], np.uint64), [t[2] for t in flat])
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = text.split()
         if len(self.known) > self.most:
             self._clear()
-        known = self.known
-        for w in dict.fromkeys(words):
-            if w not in known:
-                known[w] = len(self.first)
-                parts = _parts(w)
-                self.first.append(len(self.kind))
-                self.many.append(len(parts))
-                self.ends.append(bool(_ENDS.search(w)))
-                for k, v, n in parts:
-                    self.kind.append(k)
-                    self.value.append(v)
-                    self.name.append(n)
-        if len(self._arrays[0] if hasattr(self, "_arrays") else ()) != len(self.first):
-            self._arrays = (np.array(self.first, np.int64), np.array(self.many, np.int64), np.array(self.ends, bool), np.array(self.kind, np.int64), np.array(self.value, np.uint64), np.array(self.name, bool))
-        first, many, ends, kinds, values, names = self._arrays
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+            self._learn(new)
+        first, many, ends = self.words.arrays
+        kinds, values, names = self.tokens.arrays
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         n = many[ids]
-        starts = np.r_[True, ends[ids[:-1]]] if len(ids) else np.empty(0, bool)
+        opens = np.r_[True, ends[ids[:-1]]][: len(ids)]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(first[ids], n) + within
         kind, value = kinds[at], values[at]
-        opens = np.repeat(starts, n)
+        opens = np.repeat(opens, n)
         kind = np.where((kind == UNIT) & ~np.r_[False, kind[:-1] == NUMBER][: len(kind)], LITERAL, kind)
         kind = np.where((kind == LITERAL) & names[at] & ~opens, NAME, kind)
         return np.where(kind == LITERAL, value, _KIND_HASH[kind]), kind, value
