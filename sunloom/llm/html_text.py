@@ -212,14 +212,22 @@ def _scan(html: str) -> tuple[list[tuple[Element, Element | None]], list[Element
 
 
 def page_subtrees(html: str) -> tuple[int, list[int], list[bool]]:
-    """The hash of the page's content, and the hashes of its block subtrees outside of it, with whether they are prose."""
+    """The hash of the page's content, and the hashes of its block subtrees but for the content's prose, with whether they are prose.
+
+    What lies within an element that is dropped for its meaning goes with it, so
+    only that element itself is hashed for the count.
+    """
     order, roots = _scan(html)
     skip = {id(r) for r in roots if r.root}
     inner: set[int] = set()
+    gone: set[int] = set()
     found: dict[int, bool] = {}
     for e, parent in order:
         if parent is not None and (id(parent) in inner or id(parent) in skip):
             inner.add(id(e))
+        if parent is not None and (id(parent) in gone or parent.boiler):
+            gone.add(id(e))
+            continue
         if e.tag in BLOCK and e.tag not in ("html", "body", "br", "hr", "#page") and not e.root and e.children and not (id(e) in inner and e.prose):
             found[e.hash] = e.prose
     return xxhash.xxh64_intdigest(text_below(roots).encode("utf-8", "surrogatepass")), list(found), list(found.values())
@@ -253,7 +261,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     no rows.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.select("*", F.xxhash64("page_id", "url", "html").alias("row"), host_of("url").alias("host"))
+    rows = rows.select("*", F.xxhash64("page_id", "url", "html").alias("row"), F.xxhash64(host_of("url")).alias("host"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,11 +270,13 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
             hashes = pa.array([np.array(s[1], np.uint64).view(np.int64) for s in seen], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), pa.array(content), hashes, pa.array([s[2] for s in seen], pa.list_(pa.bool_()))], ["row", "host", "content", "hashes", "prose"])
 
-    scanned = cut(rows.select("row", "host", "html").mapInArrow(scan, "row long, host string, content long, hashes array<long>, prose array<boolean>"))
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
-    templates = site_templates(scanned).withColumn("lane", lanes)
+    scanned = cut(rows.select("row", "host", "html").mapInArrow(scan, "row long, host long, content long, hashes array<long>, prose array<boolean>"))
+    # A busy host's template would be one key with all of its pages: pages are dealt to lanes, and templates go to each.
+    templates = site_templates(scanned).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    templates = templates.select("hash", F.xxhash64("host", "hash", "lane").alias("place"))
     own = scanned.select("row", "host", F.explode("hashes").alias("hash"), F.pmod("row", F.lit(LANES)).cast("int").alias("lane"))
-    deleted = own.join(templates, ["host", "hash", "lane"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("deleted"))
+    own = own.select("row", "hash", F.xxhash64("host", "hash", "lane").alias("place"))
+    deleted = own.join(templates, ["place", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("deleted"))
     joined = rows.select("page_id", "url", "html", "row").join(deleted, "row", "left").select("page_id", "url", "html", "deleted")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
