@@ -39,8 +39,8 @@ START = np.uint64(0xC949D7C7509E6557)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that make one model shard.
 SHARD_BYTES = 24 * 1024 * 1024
-#: Tokens that a task counts or scores at a time.
-BLOCK_TOKENS = 1 << 21
+#: Tokens that a task counts at a time, and scores at a time.
+COUNT_TOKENS, SCORE_TOKENS = 1 << 21, 1 << 19
 
 
 def runs_of(values: np.ndarray) -> np.ndarray:
@@ -67,13 +67,13 @@ def tokens_of(texts: Iterator[bytes], hasher: WordHasher) -> Iterator[np.ndarray
         yield np.r_[hasher(text.lower().split()), END]
 
 
-def blocks(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def blocks(texts: Iterator[bytes], most: int = COUNT_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Tokens and their contexts, a block of whole texts at a time, and how many texts it has."""
     hasher, held, size = WordHasher(), [], 0
     for t in tokens_of(texts, hasher):
         held.append(t)
         size += len(t)
-        if size >= BLOCK_TOKENS:
+        if size >= most:
             yield *_joined(held), len(held)
             held, size = [], 0
     if held:
@@ -446,7 +446,7 @@ def score_texts(model: KneserNey, docs: DataFrame, key: str = "doc_id", text: st
         lookup = Lookup(model)
         for batch in batches:
             lengths, known, base, score = [], [], [], []
-            for tokens, before, _ in blocks(byte_texts(batch, "__text")):
+            for tokens, before, _ in blocks(byte_texts(batch, "__text"), SCORE_TOKENS):
                 count, log = lookup.score(tokens, before)
                 at = np.flatnonzero(before == START)
                 lengths.append(np.diff(np.r_[at, len(tokens)]))
