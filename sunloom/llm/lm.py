@@ -2,8 +2,9 @@
 
 Counting runs in Spark: tasks count the bigrams of their documents and deal
 them, packed as hash arrays, to shards by context; a shard's task merges them.
-Contexts so frequent that they would fill a shard (fewer than ``4 * shards`` by
+Contexts so frequent that they would fill a shard (at most ``8 * shards``, by
 their share of all tokens) are spread over all shards by the following word.
+Words' own counts come from the same merged bigrams.
 The model is a set of sorted hash arrays in the shared folder, with arrays of
 counts beside them. Scoring tasks map these files into memory and look up the
 sorted hashes of a block of texts, so that a worker holds only the pages which
@@ -269,33 +270,30 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw))  # type: ignore[return-value]
 
 
-def _count_words(shards: int):
+def _frequent_words(shards: int):
+    """Of each block, its number of tokens (under no word) and the words with more than 1 / (8 * shards) of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, _, _ in blocks(t for b in batches for t in byte_texts(b, "text")):
             keys, counts = np.unique(tokens, return_counts=True)
-            yield _packed(shard_of(keys, shards), keys, counts.astype("u8"))
+            often = counts > len(tokens) // (8 * shards)
+            words = pa.array([None, *keys[often].view(np.int64).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([words, pa.array([len(tokens), *counts[often].tolist()], pa.int64())], ["w", "n"])
 
     return run
 
 
-def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _by_shard(batches):
-        parts = list(_unpacked(iter(rows), "u8", "u8"))
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        yield _packed(np.full(len(keys), shard), keys, counts)
-
-
-def _measure_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, counts in _unpacked(batches, "u8", "u8"):
-        yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([len(keys)])], ["n", "v"])
-
+def hot_words(raw: DataFrame, shards: int) -> np.ndarray:
+    """Every word with at least 1 / (4 * shards) of all tokens is among these, which are at most 8 * shards.
 
-def _frequent_words(often: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, counts in _unpacked(batches, "u8", "u8"):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[counts > often].view(np.int64))], ["w"])
-
-    return run
+    A block leaves out less than half of such a word's share, so what blocks
+    report of it sums to 1 / (8 * shards) of all tokens or more.
+    """
+    reported = raw.mapInArrow(_frequent_words(shards), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = F.broadcast(reported.where("w is null").select(F.col("n").alias("total")))
+    often = reported.where("w is not null").crossJoin(total).where(F.col("n") >= F.floor(F.col("total") / (8 * shards)))
+    found = [r["w"] for r in often.select("w").collect()]
+    return np.sort(np.array([*found, START.view(np.int64)], np.int64).view(np.uint64))
 
 
 def _count_bigrams(folder: str, shards: int):
@@ -343,8 +341,10 @@ def _merge_bigrams(folder: str, shards: int):
             files.write(f"bigram.{shard}.key", grams)
             files.write(f"bigram.{shard}.count", counts.astype("u4"))
             with np.errstate(over="ignore"):
-                into, n_into = np.unique(grams - before * MIX, return_counts=True)
-            yield _wide("word", _packed(shard_of(into, shards), into, n_into.astype("u4")))
+                words = grams - before * MIX
+            into, n = summed(words, counts)
+            yield _wide("word", _packed(shard_of(into, shards), into, summed(words, np.ones(len(words), "u4"))[1].astype("u4"), n.astype("u4")))
+            del words
             order = np.argsort(before)
             before, of_context = before[order], counts[order]
             at = runs_of(before)
@@ -370,13 +370,13 @@ def _sum_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish_shards(folder: str, high: tuple[float, float, float]):
-    """Writes a shard's words and contexts; gives the counts of its continuation counts."""
+    """Writes a shard's words and contexts; gives its numbers of words by continuation count, of words, and of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = SharedArrays(folder)
         for shard, rows in _by_shard(batches):
-            parts: dict[str, list[list[np.ndarray]]] = {"count": [], "word": [], "context": []}
-            forms = {"count": ("u8", "u8"), "word": ("u8", "u4"), "context": ("u8", "u8", "u4", "u4", "u4")}
+            parts: dict[str, list[list[np.ndarray]]] = {"word": [], "context": []}
+            forms = {"word": ("u8", "u4", "u4"), "context": ("u8", "u8", "u4", "u4", "u4")}
             for r in rows:
                 for j, kind in enumerate(r.column("kind").to_pylist()):
                     parts[kind].append([np.frombuffer(r.column(f"p{i}")[j].as_buffer(), k) for i, k in enumerate(forms[kind])])
@@ -384,12 +384,9 @@ def _finish_shards(folder: str, high: tuple[float, float, float]):
             def column(kind: str, i: int) -> np.ndarray:
                 return np.concatenate([p[i] for p in parts[kind]]) if parts[kind] else np.empty(0, forms[kind][i])
 
-            keys, counts = summed(column("count", 0), column("count", 1))
-            words, n_into = summed(column("word", 0), column("word", 1))
-            into = np.zeros(len(keys), "u4")
-            at, there = found_at(keys, words)
-            into[at[there]] = n_into[there]
-            for name, a in (("key", keys), ("count", counts), ("into", into)):
+            keys, into = summed(column("word", 0), column("word", 1))
+            counts = summed(column("word", 0), column("word", 2).astype("u8"))[1]
+            for name, a in (("key", keys), ("count", counts.astype("u8")), ("into", into.astype("u4"))):
                 files.write(f"word.{shard}.{name}", a)
             contexts = column("context", 0)
             sums = [summed(contexts, column("context", i)) for i in (1, 2, 3, 4)]
@@ -397,7 +394,8 @@ def _finish_shards(folder: str, high: tuple[float, float, float]):
             back = sum(d * s[1] for d, s in zip(high, sums[1:], strict=True)) / np.maximum(all_of, 1)
             for name, a in (("key", sums[0][0]), ("all", sums[0][1].astype("u8")), ("back", np.asarray(back, "f8"))):
                 files.write(f"context.{shard}.{name}", a)
-            yield pa.RecordBatch.from_arrays([pa.array([int((into == i).sum())]) for i in (1, 2, 3, 4)] + [pa.array([int((into > 2).sum())])], ["n1", "n2", "n3", "n4", "n"])
+            of_into = [int((into == i).sum()) for i in (1, 2, 3, 4)] + [int((into > 2).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*of_into, len(keys), int(counts.sum()))], ["n1", "n2", "n3", "n4", "n", "words", "tokens"])
 
     return run
 
@@ -411,25 +409,19 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     folder = shared_folder(docs.sparkSession, "kneser-ney")
     raw = docs.select(F.col(text).cast("binary").alias("text"))
     shards = max(1, math.ceil((docs.select(F.sum(F.octet_length(text))).first()[0] or 0) / shard_bytes))
-    pair = "shard long, p0 binary, p1 binary"
-    words = cut(_dealt(raw.mapInArrow(_count_words(shards), pair), shards).mapInArrow(_merge_words, pair))
-    total, vocabulary = words.mapInArrow(_measure_words, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    # Fewer than 4 * shards words can each have more than that share of all tokens.
-    often = words.mapInArrow(_frequent_words(max(1, total // (4 * shards))), "w long").collect()
-    hot = np.sort(np.array([*(r[0] for r in often), START.view(np.int64)], np.int64).view(np.uint64))
-    SharedArrays(folder).write("hot", hot)
+    SharedArrays(folder).write("hot", hot_words(raw, shards))
 
     counted = _dealt(raw.mapInArrow(_count_bigrams(folder, shards), "shard long, p0 binary, p1 binary, p2 binary, p3 binary"), shards)
     merged = cut(counted.mapInArrow(_merge_bigrams(folder, shards), WIDE))
     five = "n1 long, n2 long, n3 long, n4 long, n long"
     of = [x or 0 for x in merged.where("kind = 'numbers'").select("p0").mapInArrow(_sum_numbers, five).groupBy().sum().first()]
     high = discounts(of[:4])
-    blank = F.lit(None).cast("binary")
-    gathered = merged.where("kind <> 'numbers'").unionByName(words.select(F.lit("count").alias("kind"), "shard", "p0", "p1", *(blank.alias(f"p{i}") for i in (2, 3, 4))))
-    into = [x or 0 for x in _dealt(gathered, shards).mapInArrow(_finish_shards(folder, high), five).groupBy().sum().first()]
+    seven = "n1 long, n2 long, n3 long, n4 long, n long, words long, tokens long"
+    finished = _dealt(merged.where("kind <> 'numbers'"), shards).mapInArrow(_finish_shards(folder, high), seven)
+    into = [x or 0 for x in finished.groupBy().sum().first()]
     low = discounts(into[:4])
     even = (low[0] * into[0] + low[1] * into[1] + low[2] * into[4]) / of[4] if of[4] else 1.0
-    return KneserNey(folder, shards, int(total), int(vocabulary), int(of[4]), high, low, even)
+    return KneserNey(folder, shards, into[6], into[5], of[4], high, low, even)
 
 
 def score_texts(model: KneserNey, docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
