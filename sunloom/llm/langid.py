@@ -76,24 +76,29 @@ class LanguageModel:
         return out / out.sum(axis=1, keepdims=True)
 
 
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Presence rows, packed or not, over the roots of their sizes."""
+    full = np.unpackbits(rows, axis=1).astype(np.float32) if rows.dtype == np.uint8 else rows
+    return full / np.sqrt(np.maximum(full.sum(axis=1, keepdims=True), 1))
+
+
 def fit(rows: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """From presence rows and their languages."""
+    """From presence rows and their languages. Rows packed to bits are unpacked a block at a time."""
     names = sorted(set(languages.tolist()))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
-    unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
     chosen = np.concatenate([np.flatnonzero(languages == n)[:landmarks] for n in names])
-    marks = unit[chosen]
+    marks = _unit_rows(rows[chosen])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
-    features = (unit @ marks.T) @ root
+    features = np.concatenate([_unit_rows(rows[i : i + BATCH]) @ marks.T for i in range(0, len(rows), BATCH)]) @ root
     wanted = np.where(languages[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # Each language weighs the same, however many texts it gave.
     share = 1.0 / np.array([(languages == n).sum() for n in names])[np.searchsorted(names, languages)]
     weighed = features * share[:, None]
     solved = np.linalg.solve(weighed.T @ features + ridge * np.eye(features.shape[1]) / len(names), weighed.T @ wanted)
-    return LanguageModel(names, (marks.T @ (root @ solved)).astype(np.float32))
+    return LanguageModel(names, (marks.T @ (root @ solved).astype(np.float32)).astype(np.float32))
 
 
 def training_rows(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +108,7 @@ def training_rows(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.n
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return np.zeros((0, BUCKETS), np.float32), np.empty(0, object)
+        return np.zeros((0, BUCKETS // 8), np.uint8), np.empty(0, object)
     each = min(PER_LANGUAGE, max(1, IN_ALL // len(counts)))
     # First about four times as many as are wanted by a bound on the hash, so that few texts are moved.
     bound = F.lit(None).cast("double")
@@ -122,7 +127,7 @@ def training_rows(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
     found = sorted(ranked.select("text", "lang", "h").mapInArrow(pack, "lang string, h long, bits binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["bits"])))
-    rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found]).astype(np.float32) if found else np.zeros((0, BUCKETS), np.float32)
+    rows = np.stack([np.frombuffer(r["bits"], np.uint8) for r in found]) if found else np.zeros((0, BUCKETS // 8), np.uint8)
     lettered = rows.any(axis=1) if len(rows) else np.zeros(0, bool)
     return rows[lettered], np.array([r["lang"] for r in found], object)[lettered]
 
