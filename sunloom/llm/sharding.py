@@ -107,5 +107,5 @@ def _finish(rows: DataFrame, df: DataFrame, limit: int | None = None) -> DataFra
 def directory(sharded: DataFrame) -> DataFrame:
     """One row per shard: its prefix, local depth, bytes, documents and directory slots (2^(global - local))."""
     shards = sharded.groupBy("shard", "shard_depth").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
-    deepest = shards.agg(F.coalesce(F.max("shard_depth"), F.lit(0)).alias("global_depth"))
-    return shards.crossJoin(F.broadcast(deepest)).withColumn("slots", F.pow(F.lit(2.0), F.col("global_depth") - F.col("shard_depth")))
+    deepest = sharded.agg(F.coalesce(F.max("shard_depth"), F.lit(0))).first()[0]
+    return shards.withColumn("global_depth", F.lit(deepest)).withColumn("slots", F.pow(F.lit(2.0), F.col("global_depth") - F.col("shard_depth")))
