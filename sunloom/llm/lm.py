@@ -289,10 +289,9 @@ def hot_words(raw: DataFrame, shards: int) -> np.ndarray:
     A block leaves out less than half of such a word's share, so what blocks
     report of it sums to 1 / (8 * shards) of all tokens or more.
     """
-    reported = raw.mapInArrow(_frequent_words(shards), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = F.broadcast(reported.where("w is null").select(F.col("n").alias("total")))
-    often = reported.where("w is not null").crossJoin(total).where(F.col("n") >= F.floor(F.col("total") / (8 * shards)))
-    found = [r["w"] for r in often.select("w").collect()]
+    reported = cut(raw.mapInArrow(_frequent_words(shards), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = reported.where("w is null").agg(F.sum("n")).first()[0] or 0
+    found = [r["w"] for r in reported.where(F.col("w").isNotNull() & (F.col("n") >= total // (8 * shards))).select("w").collect()]
     return np.sort(np.array([*found, START.view(np.int64)], np.int64).view(np.uint64))
 
 
