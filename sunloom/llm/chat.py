@@ -29,8 +29,9 @@ def render_text(role: str, text: str) -> str:
 
 def ordered_turns(df: DataFrame) -> DataFrame:
     """One row per conversation with its turns in order and the rolling hash after each of them."""
-    turns = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # A set on either side of the shuffle, so repeated rows are moved at most once for each task.
+    listed = df.groupBy("conv_id").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
     start = F.array().cast("array<struct<a:bigint,b:bigint>>")
 
     def roll(done: Column, turn: Column) -> Column:
