@@ -7,6 +7,11 @@ placeholders' values must agree: within one alignment each value of the item
 stands for one value of the document, and no two for the same. A document is
 contaminated if windows that agree cover 0.8 or more of an item's windows.
 
+A capitalised word that opens a sentence may be a name or not, and both readings
+are tried, on both sides. They never take away what windows without them agree
+on. Windows whose types depend on what stands before them are also matched
+exactly, so a verbatim item is found whatever precedes it.
+
 Documents' windows first pass a bitmap of fixed size, set by the benchmark's
 window hashes. It has no false negatives; it only keeps windows from the join
 which cannot be in the benchmark.
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -41,12 +46,21 @@ UNITS = frozenset(
     b"mph kph kmh hz khz mhz ghz w kw mw v kv a j kj cal kcal b kb mb gb tb bit bits byte bytes percent pct "
     b"usd eur gbp jpy dollar dollars cent cents euro euros pound pounds yen degree degrees".split()
 )
+# Words that are capitalised only for where they stand, and are never names.
+FUNCTION = frozenset(
+    b"a an the this that these those what who whom whose which when where why how is are was were am be been do does did has have had can could "
+    b"should would shall must might i you he she it we they his her its our their your my me him them us and or but nor so yet if then than because "
+    b"while although though unless until since after before during in on at by for from of to with without into onto over under between among about "
+    b"as not no yes there here each every all both some any many much few more most one two three".split()
+)
 _EDGE = rb"\s!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~-"
 _CORE = re.compile(rb"^[" + _EDGE + rb"]*(.*?)[" + _EDGE + rb"]*$", re.S)
 _NUMBER = re.compile(rb"^[+-]?\d[\d.,:/]*")
 _ENDS = re.compile(rb"[.!?][\"')\]]*$")
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: Sets hashes of exact windows apart from those of templates.
+_EXACT = np.uint64(0x510E527FADE682D1)
 _KIND_HASH = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)
 
 
@@ -68,7 +82,7 @@ def _parts(word: bytes) -> list[tuple[int, int, bool]]:
             return [(NUMBER, _hash(value), False), (UNIT, _hash(rest.lower()), False)]
     low = core.lower()
     # Of letters beyond ASCII the case is left as it is, on both sides alike.
-    name = len(core) > 1 and 65 <= core[0] <= 90 and any(97 <= c <= 122 for c in core[1:]) and not any(65 <= c <= 90 for c in core[1:])
+    name = low not in FUNCTION and len(core) > 1 and 65 <= core[0] <= 90 and any(97 <= c <= 122 for c in core[1:]) and not any(65 <= c <= 90 for c in core[1:])
     return [(UNIT if low in UNITS else LITERAL, _hash(low), name)]
 
 
@@ -111,6 +125,10 @@ class Canonicaliser:
         self.tokens.extend([t[0] for t in flat], np.array([t[1] for t in flat], np.uint64), [t[2] for t in flat])
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.read(text)[:3]
+
+    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template, kinds, values, and which literals may be names as well."""
         words = text.split()
         if len(self.known) > self.most:
             self._clear()
@@ -126,8 +144,9 @@ class Canonicaliser:
         kind, value = kinds[at], values[at]
         opens = np.repeat(opens, n)
         kind = np.where((kind == UNIT) & ~np.r_[False, kind[:-1] == NUMBER][: len(kind)], LITERAL, kind)
-        kind = np.where((kind == LITERAL) & names[at] & ~opens, NAME, kind)
-        return np.where(kind == LITERAL, value, _KIND_HASH[kind]), kind, value
+        name = (kind == LITERAL) & names[at]
+        kind = np.where(name & ~opens, NAME, kind)
+        return np.where(kind == LITERAL, value, _KIND_HASH[kind]), kind, value, name & opens
 
 
 def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
@@ -142,47 +161,81 @@ def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def other_readings(template: np.ndarray, either: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, offsets read as names (bits) and hash of each further reading of windows with words that may be names."""
+    n = len(template) - width + 1
+    if n < 1 or width < 1 or not either.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    pattern = np.convolve(either, 1 << np.arange(width)[::-1], "valid").astype(np.int64)
+    at = np.flatnonzero(pattern)
+    bits = pattern[at]
+    several = np.flatnonzero(bits & (bits - 1))
+    if len(several):  # the readings between all words as names and none
+        more = [(at[i], mask) for i in several.tolist() for mask in range(1, int(bits[i])) if mask & ~int(bits[i]) == 0]
+        at = np.r_[at, [a for a, _ in more]]
+        bits = np.r_[bits, [m for _, m in more]]
+    out = np.full(len(at), width, np.uint64)
+    for i in range(width):
+        token = np.where((bits >> i) & 1 == 1, _KIND_HASH[NAME], template[at + i])
+        out = (out ^ token) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return at, bits, out
+
+
 def _probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(64 - BITMAP_BITS)
     return (hashes >> shift).astype(np.int64), ((hashes << np.uint64(BITMAP_BITS)) >> shift).astype(np.int64)
 
 
-def _slots(kind: np.ndarray, value: np.ndarray, at: int, width: int) -> list[int]:
-    """Values of a window's placeholders, in order."""
+def _slots(kind: np.ndarray, value: np.ndarray, at: int, width: int, bits: int = 0) -> list[int]:
+    """Values of a window's placeholders, in order; ``bits`` are offsets read as names."""
     inside = slice(at, at + width)
-    return value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
+    placed = kind[inside] != LITERAL
+    if bits:
+        placed = placed | ((bits >> np.arange(width)) & 1 == 1)
+    return value[inside][placed].view(np.int64).tolist()
 
 
-_WINDOWS = "array<struct<h:bigint,pos:int,slots:array<bigint>>>"
-_WINDOW_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64()))]))
+#: ``other``: not the first reading, or exact. A document's exact window has no slots of its own: they are the item's.
+_WINDOWS = "array<struct<h:bigint,pos:int,slots:array<bigint>,other:boolean>>"
+_WINDOW_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64())), ("other", pa.bool_())]))
 
 
-def _item_windows(text: bytes, canonical: Canonicaliser) -> tuple[int, list[dict]]:
-    template, kind, value = canonical(text)
+def _item_windows(text: bytes, canonical: Canonicaliser) -> tuple[int, int, list[dict]]:
+    """Width, how many windows count, and every reading of these."""
+    template, kind, value, either = canonical.read(text)
     width = min(WINDOW, len(template))
     hashes = window_hashes(template, width)
     literal = np.convolve(kind == LITERAL, np.ones(width, int), "valid") if width else np.empty(0)
     use = np.flatnonzero(literal >= min(LITERALS, width)) if width else []
     if not len(use):
         use = range(len(hashes))
-    signed = hashes.view(np.int64)
-    return width, [{"h": int(signed[i]), "pos": int(i), "slots": _slots(kind, value, int(i), width)} for i in use]
+    signed, exact = hashes.view(np.int64), window_hashes(value ^ _EXACT, width).view(np.int64)
+    used = {int(i) for i in use}
+    windows = [{"h": int(signed[i]), "pos": i, "slots": _slots(kind, value, i, width), "other": False} for i in sorted(used)]
+    at, bits, hashes = other_readings(template, either, width)
+    for i, b, h in zip(at.tolist(), bits.tolist(), hashes.view(np.int64).tolist(), strict=True):
+        # A reading with fewer literals would match too much; its window is matched exactly.
+        if i in used and literal[i] - b.bit_count() >= min(LITERALS, width):
+            windows.append({"h": h, "pos": i, "slots": _slots(kind, value, i, width, b), "other": True})
+    windows += [{"h": int(exact[i]), "pos": i, "slots": _slots(kind, value, i, width), "other": True} for i in sorted(used & {0, *at.tolist()})]
+    return width, len(used), windows
 
 
 def _benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, width, n, h, pos, slots) of every benchmark window; items without a token have none."""
+    """(item, entry, width, n, h, pos, slots, other) of every reading of every benchmark window; items without a token have none."""
     chosen = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item"), F.col(text).cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonicaliser()
         for batch in batches:
             made = [_item_windows(t, canonical) for t in byte_texts(batch, "__text")]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([w for w, _ in made], pa.int32()), pa.array([v for _, v in made], _WINDOW_TYPE)], ["item", "width", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), *(pa.array([m[i] for m in made], pa.int32()) for i in (0, 1)), pa.array([m[2] for m in made], _WINDOW_TYPE)], ["item", "width", "n", "windows"])
 
-    listed = chosen.mapInArrow(run, StructType([chosen.schema["item"], *_fields("width int, windows " + _WINDOWS)]))
+    listed = chosen.mapInArrow(run, StructType([chosen.schema["item"], *_fields("width int, n int, windows " + _WINDOWS)]))
     # Repeated items are one: a key and text give one list of windows.
     numbered = cut(listed.distinct().withColumn("entry", F.monotonically_increasing_id()))
-    return numbered.select("item", "entry", "width", F.size("windows").alias("n"), F.inline("windows"))
+    return numbered.select("item", "entry", "width", "n", F.inline("windows"))
 
 
 def _fields(ddl: str) -> list[StructField]:
@@ -220,13 +273,23 @@ def _candidates(docs: DataFrame, text: str, bitmap: np.ndarray, widths: list[int
         for batch in batches:
             made = []
             for t in byte_texts(batch, "__text"):
-                template, kind, value = canonical(t)
-                own = []
+                template, kind, value, either = canonical.read(t)
+                salted, own = value ^ _EXACT, []
                 for width in widths:
-                    hashes = window_hashes(template, width)
+                    first, exact = window_hashes(template, width), window_hashes(salted, width)
+                    at, names, others = other_readings(template, either, width)
+                    hashes = np.concatenate([first, exact, others])
                     one, two = _probes(hashes)
-                    for i in np.flatnonzero(bits[one] & bits[two]):
-                        own.append({"h": int(hashes[i].view(np.int64)), "pos": int(i), "slots": _slots(kind, value, int(i), width)})
+                    n = len(first)
+                    for i in np.flatnonzero(bits[one] & bits[two]).tolist():
+                        h = int(hashes[i].view(np.int64))
+                        if i < n:
+                            own.append({"h": h, "pos": i, "slots": _slots(kind, value, i, width), "other": False})
+                        elif i < 2 * n:
+                            own.append({"h": h, "pos": i - n, "slots": None, "other": True})
+                        else:
+                            p = int(at[i - 2 * n])
+                            own.append({"h": h, "pos": p, "slots": _slots(kind, value, p, width, int(names[i - 2 * n])), "other": True})
                 made.append(own)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, _WINDOW_TYPE)], [*keep, "windows"])
 
@@ -247,17 +310,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     bitmap, widths = _bitmap(windows)
     renamed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = cut(_candidates(renamed, "text", bitmap, widths, ["doc_id"])).withColumn("rid", F.monotonically_increasing_id())
-    held = rows.where(F.size("windows") > 0).select("rid", F.inline("windows")).withColumnsRenamed({"pos": "at", "slots": "doc_slots"})
+    held = rows.where(F.size("windows") > 0).select("rid", F.inline("windows")).withColumnsRenamed({"pos": "at", "slots": "doc_slots", "other": "doc_other"})
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     joined = held.join(F.broadcast(windows) if small else windows, "h")
+    pairs = F.zip_with("slots", F.coalesce("doc_slots", "slots"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    first = ~(F.col("other") | F.col("doc_other"))
     aligned = joined.groupBy("rid", "entry", (F.col("at") - F.col("pos")).alias("shift")).agg(
         F.first("n").alias("n"), F.first("item").alias("item"), F.collect_set("pos").alias("all_pos"),
         F.collect_set(F.when(F.size("slots") == 0, F.col("pos"))).alias("plain_pos"),
-        F.flatten(F.collect_set(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).alias("pairs"),
+        F.collect_set(F.when(first, F.col("pos"))).alias("first_pos"),
+        F.flatten(F.collect_set(pairs)).alias("pairs"),
+        F.flatten(F.collect_set(F.when(first, pairs))).alias("first_pairs"),
     )
-    distinct = F.size(F.array_distinct("pairs"))
-    agrees = (distinct == F.size(F.array_distinct("pairs.a"))) & (distinct == F.size(F.array_distinct("pairs.b")))
-    agreeing = aligned.select("rid", "entry", "item", "n", F.explode(F.when(agrees, F.col("all_pos")).otherwise(F.col("plain_pos"))).alias("pos"))
+
+    def agree(column: str) -> Column:
+        distinct = F.size(F.array_distinct(column))
+        return (distinct == F.size(F.array_distinct(f"{column}.a"))) & (distinct == F.size(F.array_distinct(f"{column}.b")))
+
+    without = F.when(agree("first_pairs"), F.array_union("plain_pos", "first_pos")).otherwise(F.col("plain_pos"))
+    agreeing = aligned.select("rid", "entry", "item", "n", F.explode(F.when(agree("pairs"), F.col("all_pos")).otherwise(without)).alias("pos"))
     shares = agreeing.distinct().groupBy("rid", "entry").agg(F.first("item").alias("item"), (F.count(F.lit(1)) / F.first("n")).alias("share"))
     best = shares.groupBy("rid").agg(
         F.count_if(F.col("share") >= share).alias("n_items"),

@@ -120,3 +120,21 @@ def test_window_hash_knows_its_width():
     t = np.arange(1, 20, dtype=np.uint64)
     assert not set(decontam.window_hashes(t, 4).tolist()) & set(decontam.window_hashes(t, 5).tolist())
     assert len(decontam.window_hashes(t[:3], 5)) == 0
+
+
+def test_names_that_open_sentences_are_reparameterised(spark):
+    item = "Tom has 3 apples. Tom gives 2 to Mary. How many apples does Tom have left"
+    other = "Bob has 7 apples. Bob gives 4 to Jane. How many apples does Bob have left"
+    mixed = "Bob has 7 apples. Rob gives 4 to Jane. How many apples does Sam have left"
+    docs = documents(spark, [(1, other, "en", "a"), (2, f"Question: {other}", "en", "a"), (3, mixed, "en", "a"), (4, f"Question: {item}", "en", "a")])
+    assert {d for d, r in judged(docs, items(spark, (7, item))).items() if r.contaminated} == {1, 2, 4}
+
+
+def test_verbatim_items_whatever_precedes(spark):
+    bench = ["What is the capital of France", "Name three rivers", "Who is Anna Kowalska", "Anna met Peter", "Minutes pass slowly here", "Describe Mount Everest to Anna and Peter"]
+    before = ["", "Question: ", "so it says ", "It ended. ", "Part 3: ", "the Old "]
+    docs = [(10 * i + j, f"{b}{t}", "en", "a") for i, t in enumerate(bench) for j, b in enumerate(before)]
+    docs += [(900, "Paris is the capital of France", "en", "a"), (901, "they say Maria is Peter Smith", "en", "a"), (902, "Well, Maria met Oskar", "en", "a")]
+    got = judged(documents(spark, docs), items(spark, *enumerate(bench)))
+    assert {d for d, r in got.items() if r.contaminated} == {d for d, *_ in docs if d < 900}
+    assert all(got[d].best_share == 1.0 for d, *_ in docs if d < 900)
