@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sunloom.llm.common import remainder
+from sunloom.llm.common import cut, remainder
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: The classifier is fitted on at most so many training texts of each language, and so many in all.
 PER_LANGUAGE, IN_ALL = 512, 8192
+#: Times as many texts as are wanted that the first bound on their hashes lets through.
+REACH = 4.0
 LANDMARKS = 48
 MAX_LANGUAGES = 256
 RIDGE = 1e-2
@@ -104,19 +106,30 @@ def fit(rows: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, rid
 def training_rows(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
     """Packed presence rows of a bounded sample: of each language the texts with the least hashes."""
     labelled = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    # Copies of a text are one text.
+    distinct = cut(hashed.select("lang", "h").distinct())
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return np.zeros((0, BUCKETS // 8), np.uint8), np.empty(0, object)
     each = min(PER_LANGUAGE, max(1, IN_ALL // len(counts)))
-    # First about four times as many as are wanted by a bound on the hash, so that few texts are moved.
-    bound = F.lit(None).cast("double")
-    for name, n in counts.items():
-        bound = F.when(F.col("lang") == name, F.lit(min(1.0, (4.0 * each + 32) / n))).otherwise(bound)
-    order = F.xxhash64("text")
-    near = labelled.withColumn("h", order).where((F.col("h") / 2.0**64 + 0.5) <= bound)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
+    # First a bound on the hash, so that few are ranked; it is raised for a language that got fewer texts than it has.
+    reach = dict.fromkeys(counts, REACH * each + 32)
+    while True:
+        bound = F.lit(None).cast("double")
+        for name, n in counts.items():
+            bound = F.when(F.col("lang") == name, F.lit(min(1.0, reach[name] / n))).otherwise(bound)
+        near = distinct.where((F.col("h") / 2.0**64 + 0.5) <= bound)
+        least = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each).select("lang", "h"))
+        got = {r["lang"]: r["count"] for r in least.groupBy("lang").count().collect()}
+        short = [name for name, n in counts.items() if got.get(name, 0) < min(each, n)]
+        if not short:
+            break
+        for name in short:
+            reach[name] *= 8
+    ranked = hashed.join(F.broadcast(least), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,3 +95,14 @@ def test_votes_match_brute_force():
         near = np.argsort(-cosines)[: quality.NEIGHBOURS]
         weight = np.maximum(cosines[near], 1e-3) ** quality.FOCUS
         assert got == pytest.approx((weight * model.labels[near]).sum() / weight.sum(), rel=1e-4)
+
+
+def test_training_texts_are_distinct(spark, monkeypatch):
+    rows = [(i, prose(i % 40, 25, SPANISH), "es", "a") for i in range(6000)] + [(9000 + i, prose(i, 25, GERMAN), "de", "a") for i in range(1500)]
+    df = documents(spark, rows).cache()
+    bits, langs = langid.training_rows(df, "text", "lang")
+    assert (langs == "es").sum() == len({b.tobytes() for b in bits[langs == "es"]}) == 40
+    assert (langs == "de").sum() == langid.PER_LANGUAGE
+    monkeypatch.setattr(langid, "REACH", 0.0)
+    again, names = langid.training_rows(df, "text", "lang")
+    assert names.tolist() == langs.tolist() and (again == bits).all()
