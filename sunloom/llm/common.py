@@ -47,6 +47,11 @@ def empty_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_id(column: str | Column) -> Column:
+    """SHA-256 of a text; a null text has none."""
+    return F.unhex(F.sha2((F.col(column) if isinstance(column, str) else column).cast("binary"), 256))
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of a value's decimal text modulo ``modulus``; a null value counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

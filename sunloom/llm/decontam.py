@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from sunloom.llm.common import byte_texts, cut
+from sunloom.llm.common import byte_texts, cut, text_id
 
 WINDOW, SHARE = 5, 0.8
 #: Bits of the bitmap, by two probes.
@@ -348,3 +348,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Rows of ``docs`` that hold no benchmark item. A null key is matched as a key of its own."""
     bad = contamination(docs, benchmark, key, text).where("contaminated").select(F.col("doc_id").alias("__bad_key")).distinct()
     return docs.join(bad, docs[key].eqNullSafe(F.col("__bad_key")), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that hold no benchmark item. Each is judged by its own text, so keys may be null or repeat."""
+    judged = docs.select(text_id(text).alias("id"), F.col(text).alias("text"))
+    bad = contamination(judged, benchmark, "id").where("contaminated").select(F.col("doc_id").alias("__bad_text")).distinct()
+    return docs.join(bad, text_id(docs[text]) == F.col("__bad_text"), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import byte_texts, cut, keep_by_key
+from sunloom.llm.common import byte_texts, cut, keep_by_key, text_id
 from sunloom.llm.hashing import shingle_hashes, words_of
 
 WIDTH, BUDGET, BITS = 4, 4, 64
@@ -245,7 +245,13 @@ def fingerprint_text(fp: str | Column) -> Column:
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """Rows of ``df`` that stay: of each component the document with the smallest key, once."""
-    found = near_components(df, key, text, width, budget)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return keep_by_key(df, key, keep)
+    """Rows of ``df`` that stay: of each component the document with the smallest key, once.
+
+    A key names a document. A row without one is a document by its text, and
+    comes after all keys.
+    """
+    own = F.when(F.col(key).isNull(), F.coalesce(text_id(text), F.lit(b"")))
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), own.alias("text"))
+    placed = df.withColumn("__place", place)
+    keep = near_components(placed, "__place", text, width, budget).select("component_id").distinct()
+    return keep_by_key(placed, "__place", keep).drop("__place")

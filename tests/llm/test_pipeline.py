@@ -61,3 +61,18 @@ def test_run_on_no_documents(spark, corpus, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_own_key(spark, corpus):
+    texts = [prose(2000 + i, 60) for i in range(12)]
+    leak = prose(5000, 40) + " " + prose(900, 30)
+    rows = [(None if i < 8 else 7, t, "en", "a") for i, t in enumerate(texts)]
+    docs = documents(spark, [*rows, rows[0], rows[8], (None, leak, "en", "a"), (7, leak + " end", "en", "b"), (None, None, "en", "a")])
+    unique = cp.near_duplicates(spark, docs.where("doc_id is null"), corpus)
+    kept = [r.text for r in unique.collect()]
+    prints = list({plain_fingerprint(t) for t in [*texts[:8], leak, None]})
+    assert len(kept) == len(set(plain_components(prints, list(range(len(prints))))))
+    assert set(kept) == {*texts[:8], leak, None}
+    clean = cp.decontamination(spark, docs, corpus)
+    assert clean.columns == docs.columns
+    assert sorted(map(str, (r.text for r in clean.collect()))) == sorted(map(str, [*texts, texts[0], texts[8], None]))
