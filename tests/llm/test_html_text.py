@@ -1,3 +1,11 @@
+import random
+import re
+import time
+from html import unescape
+from pathlib import Path
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sunloom.llm import html_text
@@ -5,8 +13,11 @@ from sunloom.llm import html_text
 PAGES = "page_id long, url string, html string"
 
 
-def text(html, templates=()):
-    return html_text.main_text(html, set(templates))
+NONE = np.empty(0, np.uint64)
+
+
+def text(html):
+    return html_text.main_text(html, NONE)[0]
 
 
 def test_article_alone():
@@ -46,25 +57,111 @@ def test_copies_of_one_page_are_no_template(spark):
     assert {r.text for r in html_text.extract_main_text(df).collect()} == {"Our site story number 0 is long Call us"}
 
 
-def test_shared_prose_in_articles_stays(spark):
-    rows = [(i, f"http://h.example.com/{i}", f"<body><div>Our site</div><article><p>The same opening line.</p><div><p>Body {i}</p></div><div>Tags here</div></article></body>") for i in range(80)]
-    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got == {i: f"The same opening line. Body {i}" for i in range(80)}
-
-
-def test_template_counts_match_brute_force(spark):
-    rows = site(9) + site(3, "b.example.com") + site(7, "c.example.com", lambda i: "<div>same</div>")
-    seen = {}
+def test_prose_in_articles_goes_only_where_half_of_the_host_has_it(spark):
+    def page(i, host, quoted):
+        quote = "<p>The same opening line.</p><ul><li>1 tsp salt</li></ul>" if quoted else ""
+        return (i, f"http://{host}/{i}", f"<body><div>Our site</div><article>{quote}<p>Subscribe to our letters</p><div><p>Body {i} of {host}</p></div><div>Tags here</div></article></body>")
+
+    rows = [page(i, "h.example.com", i % 3 == 0) for i in range(80)] + [page(100 + i, "small.example.com", False) for i in range(9)]
+    got = {r.page_id: r for r in html_text.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {i: got[i].text for i in range(80)} == {i: ("The same opening line. 1 tsp salt " if i % 3 == 0 else "") + f"Body {i} of h.example.com" for i in range(80)}
+    assert got[100].text == "Subscribe to our letters Body 100 of small.example.com Tags here"
+    assert all(got[i].template_chars == len("Our site" + "Subscribe to our letters" + "Tags here") for i in range(80))
+    assert got[100].template_chars == 0
+
+
+def test_near_copies_make_no_template(spark):
+    copies = [(i, f"http://h.example.com/{i}", f"<article><h1>Same</h1><p>{'A long paragraph. ' * 9}</p><p>Second of them, rather long too</p><p>edit {i}</p></article>") for i in range(40)]
+    assert {r.text for r in html_text.extract_main_text(spark.createDataFrame(copies, PAGES)).select("text").distinct().collect()} == {f"Same {'A long paragraph. ' * 9}Second of them, rather long too edit {i}" for i in range(40)}
+
+
+def test_names_are_whole_and_headings_keep_their_anchors():
+    assert text('<div class="elementor-widget-theme-post-content"><h2 id="related-work">Related</h2><p id="share">x</p></div>') == "Related x"
+    assert text('<article><p class="notice">Kept</p><div class="related-posts">gone</div><div class="ad-slot">gone</div></article>') == "Kept"
+    assert text('<p class="notice">gone</p><p>kept</p><div class="site-header">gone</div>') == "kept"
+    # Cards beside a body without an article tag don't take its place.
+    body = " ".join(["The body of this page"] * 12)
+    assert text(f"<div>{body}</div><article>card</article>") == f"{body} card"
+    assert text("<div>Left over</div><article>card</article>") == "card"
+
+
+def test_entities_are_decoded_by_text_node():
+    assert text("<p>&<b>amp;</b> &amp;lt; &eacute;&#x41;") == "&amp; &lt; éA"
+
+
+@pytest.mark.parametrize("unit", ["<div>|</span>", "<b>|<div></div>", "<i>|</b>", "<p><b>|<p>"])
+def test_stray_tags_take_linear_time(unit):
+    opening, closing = unit.split("|")
+    times = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        html_text.main_text(opening * n + closing * n + "end", NONE)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * 4 * max(times[0], 0.02)
+
+
+def known_sites():
+    """Pages of two hosts and the main text of each, known since it was put there."""
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice("sun moon river stone light wind tree house road cloud".split()) + str(r.randrange(1000)) for _ in range(n))
+    rows = []
+    for host, n in (("one.example.com", 60), ("two.example.com", 25)):
+        menus = [f"<div class=m{k}><a href=/{k}>{say(1)}</a> <a href=/x>{say(1)}</a></div>" for k in range(4)]
+        tail = f"<div class=z><p>{say(12)}</p><p>{say(8)}</p></div>"
+        notice = f"<div class=q><p>{say(10)}</p></div>"
+        for i in range(n):
+            title, body, items = say(3), [say(20) for _ in range(3)], [say(2) for _ in range(2)]
+            related = "".join(f"<li><a href=/r{k}>{say(2)}</a></li>" for k in range(3))
+            inner = f"<h1>{title}</h1>{notice if i % 5 else ''}" + "".join(f"<p>{b}</p>" for b in body) + "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+            whole = f"<article>{inner}</article>" if i % 2 else f"<div class=text>{inner}</div>"
+            page = f"<html><head><title>{title}</title></head><body>{menus[i % 4]}{'</span>' * (i % 3)}{whole}<nav><ul>{related}</ul></nav>{tail}<div class=ad>{say(4)}</div></body>"
+            rows.append((len(rows), f"https://{host}/p{i}", page, " ".join([title, *body, *items])))
+    return rows
+
+
+def test_known_main_texts(spark):
+    rows = known_sites()
+    df = spark.createDataFrame([x[:3] for x in rows], PAGES).repartition(5)
+    want = {x[0]: x[3] for x in rows}
+    for most in (html_text.BROADCAST_TEMPLATES, 0):
+        found = html_text.extract_main_text(df, broadcast_templates=most).collect()
+        assert {r.page_id: r.text for r in found} == want
+        # Each page loses its tail and its menu to templates.
+        assert all(r.template_chars > 100 for r in found)
+
+
+def test_templates_match_brute_force(spark):
+    rows = [x[:3] for x in known_sites()] + site(3, "b.example.com") + site(30, "c.example.com", lambda i: f"<div>same</div><p>{'long text ' * 4}{i}</p>")
+    seen, sizes = {}, {}
+    hosts = {h: i for i, h in enumerate(sorted({u.split("/")[2] for _, u, _ in rows}))}
+    pages = []
     for _, url, html in rows:
-        content, hashes, prose = html_text.page_subtrees(html)
-        for h, p in zip(hashes, prose, strict=True):
-            seen.setdefault((url.split("/")[2], h), [set(), False])
-            seen[url.split("/")[2], h][0].add(content)
-            seen[url.split("/")[2], h][1] |= p
-    want = {k for k, (c, p) in seen.items() if len(c) >= (html_text.PROSE_RECURS if p else html_text.RECURS)}
-    pages = [(u.split("/")[2], *(lambda s: (s[0] - (1 << 64) if s[0] >> 63 else s[0], [h - (1 << 64) if h >> 63 else h for h in s[1]], s[2]))(html_text.page_subtrees(h))) for _, u, h in rows]
-    df = spark.createDataFrame(pages, "host string, content long, hashes array<long>, prose array<boolean>")
-    assert {(r.host, r.hash & (1 << 64) - 1) for r in html_text.site_templates(df).collect()} == want
+        page, host = html_text.Page(html), hosts[url.split("/")[2]]
+        _, keys, side = html_text.page_places(page, host)
+        sizes.setdefault(host, set()).add(page.look())
+        for k, s in zip(keys.tolist(), side.tolist(), strict=True):
+            seen.setdefault(k, (host, s, set()))[2].add(page.look())
+        pages.append((host, page.look() - (1 << 64) if page.look() >> 63 else page.look(), *(keys[c].view(np.int64).tolist() for c in (side, ~side))))
+    least = {True: (html_text.SIDE_PAGES, html_text.SIDE_SHARE), False: (html_text.BODY_PAGES, html_text.BODY_SHARE)}
+    want = {k for k, (host, s, looks) in seen.items() if len(looks) >= max(least[s][0], least[s][1] * len(sizes[host]))}
+    df = spark.createDataFrame(pages, "host long, look long, side array<long>, body array<long>")
+    assert len(want) > 8
+    assert {r.place & (1 << 64) - 1 for r in html_text.site_templates(df).collect()} == want
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/pages.parquet").exists(), reason="needs the driver's tables")
+def test_pages_of_the_tables(spark):
+    """Whole pages, against the article as a plain reading of its markup gives it."""
+    got = html_text.extract_main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    html = {r.page_id: r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+
+    def article(page):
+        inside = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", page, re.S)[1]
+        inside = re.sub(r"<(/?)(\w+)[^>]*>", lambda m: " " if m[2].lower() in ("p", "h1", "h2", "br", "li", "ul", "div") else "", inside)
+        return " ".join(unescape(inside).split())
+
+    rows = got.collect()
+    assert {r.page_id: r.text for r in rows} == {k: article(v) for k, v in html.items()}
 
 
 def test_awkward(spark):
