@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: ``bytes.split()`` without arguments splits on exactly these bytes.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+#: Keys that are broadcast at most (about 20 MB as a hash table).
+BROADCAST_KEYS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +66,13 @@ def byte_texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def without(df: DataFrame, keys: DataFrame, same: Column) -> DataFrame:
+    """Rows of ``df`` that match no row of ``keys``. Few keys are broadcast after their count, so that ``df`` isn't shuffled."""
+    keys = cut(keys)
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, same, "left_anti")
+
+
 def keep_by_key(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is in the one column of ``kept`` (null matches null), one row for each key.
 

@@ -1,16 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names become typed placeholders, so that a question with
-other figures or people has the template of the original. Windows of five
-template tokens are hash-joined between documents and benchmark items, and the
-placeholders' values must agree: within one alignment each value of the item
-stands for one value of the document, and no two for the same. A document is
-contaminated if windows that agree cover 0.8 or more of an item's windows.
+other figures or people has the template of the original; gendered pronouns
+become one word each, as they change with the names. Windows of five template
+tokens are hash-joined between documents and benchmark items. Items that differ
+in their placeholders' values alone are one class, so a benchmark made from one
+template doesn't multiply the join.
+
+The placeholders' values must agree: within one alignment each value of the item
+stands for one value of the document, and no two names for the same. Windows
+with a value that disagrees don't count. A document is contaminated if windows
+that agree cover 0.8 or more of an item's windows.
 
 A capitalised word that opens a sentence may be a name or not, and both readings
 are tried, on both sides. They never take away what windows without them agree
-on. Windows whose types depend on what stands before them are also matched
-exactly, so a verbatim item is found whatever precedes it.
+on. Only windows with two literal words under either reading count; an item that
+has none is matched exactly.
 
 Documents' windows first pass a bitmap of fixed size, set by the benchmark's
 window hashes. It has no false negatives; it only keeps windows from the join
@@ -29,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from sunloom.llm.common import byte_texts, cut, text_id
+from sunloom.llm.common import byte_texts, cut, text_id, without
 
 WINDOW, SHARE = 5, 0.8
 #: Bits of the bitmap, by two probes.
 BITMAP_BITS = 24
 #: Benchmark windows that are broadcast at most (about 10 MB); more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
-#: Literal tokens that a window needs, unless its item has no such window.
+#: Lanes over which documents are spread where the benchmark is joined by a shuffle.
+LANES = 8
+#: Literal tokens that a window needs; an item without such a window is matched exactly.
 LITERALS = 2
 
 # Units of measure that may follow a number.
@@ -53,10 +60,16 @@ FUNCTION = frozenset(
     b"while although though unless until since after before during in on at by for from of to with without into onto over under between among about "
     b"as not no yes there here each every all both some any many much few more most one two three".split()
 )
-_EDGE = rb"\s!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~-"
-_CORE = re.compile(rb"^[" + _EDGE + rb"]*(.*?)[" + _EDGE + rb"]*$", re.S)
-_NUMBER = re.compile(rb"^[+-]?\d[\d.,:/]*")
-_ENDS = re.compile(rb"[.!?][\"')\]]*$")
+# Numbers in words.
+NUMBER_WORDS = frozenset(
+    b"two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    b"twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
+# Pronouns that follow a name's gender, and the word that stands for each.
+PRONOUNS = {b"she": b"he", b"her": b"his", b"him": b"his", b"hers": b"his", b"herself": b"himself"}
+_EDGE = b" \t\n\r\f\v!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~-"
+_NUMBER = re.compile(rb"[+-]?\d[\d.,:/]*")
+_ENDS = (b".", b"!", b"?")
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 #: Sets hashes of exact windows apart from those of templates.
@@ -68,22 +81,32 @@ def _hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token)
 
 
+def _capitalised(core: bytes) -> bool:
+    """Whether a word begins with a capital and has small letters."""
+    if len(core) < 2 or core[0] < 65 or 90 < core[0] < 0xC3:
+        return False
+    if core[0] <= 90:
+        return core.upper() != core
+    word = core.decode("utf-8", "replace")
+    return word[0].isupper() and not word.isupper()
+
+
 def _parts(word: bytes) -> list[tuple[int, int, bool]]:
     """(kind, hash, could be a name) of a word's tokens, seen alone; UNIT here means: if it follows a number."""
-    core = _CORE.match(word)[1]  # type: ignore[index]
+    core = word.strip(_EDGE)
     if not core:
         return []
-    number = _NUMBER.match(core)
-    if number:
+    if core[0] <= 57 and (number := _NUMBER.match(core)):
         value, rest = number[0].rstrip(b".,:/"), core[number.end() :]
         if not rest:
             return [(NUMBER, _hash(value), False)]
         if rest.lower() in UNITS:
             return [(NUMBER, _hash(value), False), (UNIT, _hash(rest.lower()), False)]
     low = core.lower()
+    if low in NUMBER_WORDS:
+        return [(NUMBER, _hash(low), False)]
     # Of letters beyond ASCII the case is left as it is, on both sides alike.
-    name = low not in FUNCTION and len(core) > 1 and 65 <= core[0] <= 90 and any(97 <= c <= 122 for c in core[1:]) and not any(65 <= c <= 90 for c in core[1:])
-    return [(UNIT if low in UNITS else LITERAL, _hash(low), name)]
+    return [(UNIT if low in UNITS else LITERAL, _hash(PRONOUNS.get(low, low)), low not in FUNCTION and _capitalised(core))]
 
 
 class Columns:
@@ -104,7 +127,7 @@ class Columns:
 class Canonicaliser:
     """Texts as arrays of template hashes, kinds and value hashes. Words are remembered up to a fixed number."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, most: int = 400_000) -> None:
         self.most = most
         self._clear()
 
@@ -120,7 +143,7 @@ class Canonicaliser:
         first = (np.cumsum([0, *many[:-1]]) + self.tokens.size).tolist()
         for i, w in enumerate(words, len(self.known)):
             self.known[w] = i
-        self.words.extend(first, many, [bool(_ENDS.search(w)) for w in words])
+        self.words.extend(first, many, [w.rstrip(b"\"')]").endswith(_ENDS) for w in words])
         flat = [t for p in parts for t in p]
         self.tokens.extend([t[0] for t in flat], np.array([t[1] for t in flat], np.uint64), [t[2] for t in flat])
 
@@ -196,46 +219,72 @@ def _slots(kind: np.ndarray, value: np.ndarray, at: int, width: int, bits: int =
     return value[inside][placed].view(np.int64).tolist()
 
 
-#: ``other``: not the first reading, or exact. A document's exact window has no slots of its own: they are the item's.
+#: ``other``: not the first reading, or exact. Exact windows have no slots.
 _WINDOWS = "array<struct<h:bigint,pos:int,slots:array<bigint>,other:boolean>>"
 _WINDOW_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64())), ("other", pa.bool_())]))
+_UNIT_HASHES = frozenset(map(_hash, UNITS))
+
 
+def _numbered(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Each placeholder's value as its rank by first place, doubled, and one more for a number."""
+    seen: dict[tuple[bool, int], int] = {}
+    out = np.zeros(len(kind), np.uint64)
+    for i in np.flatnonzero(kind != LITERAL).tolist():
+        number = bool(kind[i] == NUMBER)
+        out[i] = 2 * seen.setdefault((number, int(value[i])), len(seen)) + number
+    return out
+
+
+def _item_windows(text: bytes, canonical: Canonicaliser) -> tuple[int, int, int, list[dict]]:
+    """Class, width, how many windows count, and every reading of these.
 
-def _item_windows(text: bytes, canonical: Canonicaliser) -> tuple[int, int, list[dict]]:
-    """Width, how many windows count, and every reading of these."""
+    Slots are numbered by their first place, so items that differ in their
+    placeholders' values alone have one class and the same slots.
+    """
     template, kind, value, either = canonical.read(text)
     width = min(WINDOW, len(template))
-    hashes = window_hashes(template, width)
-    literal = np.convolve(kind == LITERAL, np.ones(width, int), "valid") if width else np.empty(0)
-    use = np.flatnonzero(literal >= min(LITERALS, width)) if width else []
-    if not len(use):
-        use = range(len(hashes))
-    signed, exact = hashes.view(np.int64), window_hashes(value ^ _EXACT, width).view(np.int64)
-    used = {int(i) for i in use}
-    windows = [{"h": int(signed[i]), "pos": i, "slots": _slots(kind, value, i, width), "other": False} for i in sorted(used)]
+    if not width:
+        return 0, 0, 0, []
+    all_named = np.where(either, NAME, kind)
+    least = min(LITERALS, width)
+    used = set(np.flatnonzero(np.convolve(all_named == LITERAL, np.ones(width, int), "valid") >= least).tolist())
+    exact = window_hashes(value ^ _EXACT, width).view(np.int64)
+    if not used:
+        windows = [{"h": h, "pos": i, "slots": [], "other": True} for i, h in enumerate(exact.tolist())]
+        return _signed(xxhash.xxh64_intdigest(value.tobytes(), 1)), width, len(windows), windows
+    slot = _numbered(all_named, value)
+    first = window_hashes(template, width).view(np.int64)
+    windows = [{"h": int(first[i]), "pos": i, "slots": _slots(kind, slot, i, width), "other": False} for i in sorted(used)]
     at, bits, hashes = other_readings(template, either, width)
     for i, b, h in zip(at.tolist(), bits.tolist(), hashes.view(np.int64).tolist(), strict=True):
-        # A reading with fewer literals would match too much; its window is matched exactly.
-        if i in used and literal[i] - b.bit_count() >= min(LITERALS, width):
-            windows.append({"h": h, "pos": i, "slots": _slots(kind, value, i, width, b), "other": True})
-    windows += [{"h": int(exact[i]), "pos": i, "slots": _slots(kind, value, i, width), "other": True} for i in sorted(used & {0, *at.tolist()})]
-    return width, len(used), windows
+        if i in used:
+            windows.append({"h": h, "pos": i, "slots": _slots(kind, slot, i, width, b), "other": True})
+    if 0 in used and int(value[0]) in _UNIT_HASHES:  # a unit or not, by what stands before the item
+        windows.append({"h": int(exact[0]), "pos": 0, "slots": [], "other": True})
+    known = np.where(either, _KIND_HASH[NAME], template).tobytes() + slot.tobytes()
+    return _signed(xxhash.xxh64_intdigest(known)), width, len(used), windows
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, entry, width, n, h, pos, slots, other) of every reading of every benchmark window; items without a token have none."""
+
+def _benchmark(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of items (entry, item, n_items, width, n) and their windows (entry, h, pos, slots, other); items without a token have none."""
     chosen = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item"), F.col(text).cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonicaliser()
         for batch in batches:
             made = [_item_windows(t, canonical) for t in byte_texts(batch, "__text")]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), *(pa.array([m[i] for m in made], pa.int32()) for i in (0, 1)), pa.array([m[2] for m in made], _WINDOW_TYPE)], ["item", "width", "n", "windows"])
+            numbers = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), *numbers, pa.array([m[3] for m in made], _WINDOW_TYPE)], ["item", "entry", "width", "n", "windows"])
 
-    listed = chosen.mapInArrow(run, StructType([chosen.schema["item"], *_fields("width int, n int, windows " + _WINDOWS)]))
-    # Repeated items are one: a key and text give one list of windows.
-    numbered = cut(listed.distinct().withColumn("entry", F.monotonically_increasing_id()))
-    return numbered.select("item", "entry", "width", "n", F.inline("windows"))
+    listed = cut(chosen.mapInArrow(run, StructType([chosen.schema["item"], *_fields("entry long, width int, n int, windows " + _WINDOWS)])).where("n > 0"))
+    # A repeated item is one.
+    single = listed.select("item", "entry", "width", "n").distinct()
+    classes = single.groupBy("entry").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n_items"), F.min("width").alias("width"), F.min("n").alias("n"))
+    return classes, listed.select("entry", F.inline("windows")).distinct()
 
 
 def _fields(ddl: str) -> list[StructField]:
@@ -244,8 +293,8 @@ def _fields(ddl: str) -> list[StructField]:
     return list(_parse_datatype_string(ddl).fields)
 
 
-def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The packed bitmap (2 MB, whatever the benchmark's size) and the widths in use (at most five)."""
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """The packed bitmap (2 MB, whatever the benchmark's size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITMAP_BITS, bool)
@@ -260,78 +309,88 @@ def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     words = windows.select("h").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
     packed = np.zeros((1 << BITMAP_BITS) // 64, np.uint64)
     packed[[r["at"] for r in words]] = np.array([r["word"] for r in words], np.int64).view(np.uint64)
-    return packed, [r["width"] for r in windows.select("width").distinct().collect()]
+    return packed
 
 
-def _candidates(docs: DataFrame, text: str, bitmap: np.ndarray, widths: list[int], keep: list[str]) -> DataFrame:
-    """Every document with those of its windows that pass the bitmap."""
+def _candidates(docs: DataFrame, text: str, bitmap: np.ndarray, widths: list[int], exact: bool, keep: list[str]) -> DataFrame:
+    """Every document with those of its windows that pass the bitmap; exact windows only if some item has one."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     chosen = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
 
+    def found(text: bytes, bits: np.ndarray, canonical: Canonicaliser) -> list[dict]:
+        template, kind, value, either = canonical.read(text)
+        own: list[dict] = []
+        for width in widths:
+            first = window_hashes(template, width)
+            at, names, others = other_readings(template, either, width)
+            same = window_hashes(value ^ _EXACT, width) if exact else first[:0]
+            hashes = np.concatenate([first, others, same])
+            one, two = _probes(hashes)
+            n, m = len(first), len(first) + len(others)
+            passing = np.flatnonzero(bits[one])
+            for i in passing[bits[two[passing]]].tolist():
+                h = int(hashes[i].view(np.int64))
+                if i < n:
+                    own.append({"h": h, "pos": i, "slots": _slots(kind, value, i, width), "other": False})
+                elif i < m:
+                    p = int(at[i - n])
+                    own.append({"h": h, "pos": p, "slots": _slots(kind, value, p, width, int(names[i - n])), "other": True})
+                else:
+                    own.append({"h": h, "pos": i - m, "slots": [], "other": True})
+        return own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, canonical = np.unpackbits(shared.value.view(np.uint8)).view(bool), Canonicaliser()
         for batch in batches:
-            made = []
-            for t in byte_texts(batch, "__text"):
-                template, kind, value, either = canonical.read(t)
-                salted, own = value ^ _EXACT, []
-                for width in widths:
-                    first, exact = window_hashes(template, width), window_hashes(salted, width)
-                    at, names, others = other_readings(template, either, width)
-                    hashes = np.concatenate([first, exact, others])
-                    one, two = _probes(hashes)
-                    n = len(first)
-                    for i in np.flatnonzero(bits[one] & bits[two]).tolist():
-                        h = int(hashes[i].view(np.int64))
-                        if i < n:
-                            own.append({"h": h, "pos": i, "slots": _slots(kind, value, i, width), "other": False})
-                        elif i < 2 * n:
-                            own.append({"h": h, "pos": i - n, "slots": None, "other": True})
-                        else:
-                            p = int(at[i - 2 * n])
-                            own.append({"h": h, "pos": p, "slots": _slots(kind, value, p, width, int(names[i - 2 * n])), "other": True})
-                made.append(own)
+            made = [found(t, bits, canonical) for t in byte_texts(batch, "__text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, _WINDOW_TYPE)], [*keep, "windows"])
 
     return chosen.mapInArrow(run, StructType([*(chosen.schema[c] for c in keep), *_fields("windows " + _WINDOWS)]))
 
 
+def _agreeing(windows: str) -> Column:
+    """Positions of those of an alignment's windows (pos, pairs) whose slots agree with all others'."""
+    pairs = f"array_distinct(flatten(transform({windows}, w -> w.pairs)))"
+    # A value of the item that stands for two of the document, or a name of the document that stands for two of the item (names are even).
+    clashes = (
+        f"filter({pairs}, p -> exists({pairs}, q -> (q.a = p.a AND q.b <> p.b) OR (q.b = p.b AND q.a <> p.a AND q.a % 2 = 0 AND p.a % 2 = 0)))"
+    )
+    return F.expr(f"transform(filter({windows}, w -> NOT arrays_overlap(w.pairs, {clashes})), w -> w.pos)")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """doc_id, contaminated, n_items, best_item and best_share for every row of ``docs``.
 
     ``best_share`` is the largest share of an item's windows that the document
     holds with consistent slots (0 if none); ``best_item`` the item that has it
-    (ties: the smallest key), among items at or above ``share``, else null.
-    Items of fewer than five tokens are one window of all their tokens; null
-    and empty items, and null and empty texts, match nothing. Repeated documents
-    are judged each. Other columns are not read. No documents give no rows.
+    (ties: the smallest key), among items at or above ``share``, else null. Items
+    that differ in their placeholders' values alone are found together. Items of
+    fewer than five tokens are one window of all their tokens; null and empty
+    items, and null and empty texts, match nothing. Repeated documents are judged
+    each. Other columns are not read. No documents give no rows.
     """
-    windows = cut(_benchmark_windows(benchmark, item, item_text))
-    bitmap, widths = _bitmap(windows)
+    classes, windows = (cut(x) for x in _benchmark(benchmark, item, item_text))
+    widths = [r["width"] for r in classes.select("width").distinct().collect()]  # at most five
+    exact = not windows.where(F.col("other") & (F.size("slots") == 0)).isEmpty()
     renamed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(_candidates(renamed, "text", bitmap, widths, ["doc_id"])).withColumn("rid", F.monotonically_increasing_id())
+    rows = cut(_candidates(renamed, "text", _bitmap(windows), widths, exact, ["doc_id"])).withColumn("rid", F.monotonically_increasing_id())
     held = rows.where(F.size("windows") > 0).select("rid", F.inline("windows")).withColumnsRenamed({"pos": "at", "slots": "doc_slots", "other": "doc_other"})
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    joined = held.join(F.broadcast(windows) if small else windows, "h")
-    pairs = F.zip_with("slots", F.coalesce("doc_slots", "slots"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        joined = held.join(F.broadcast(windows), "h")
+    else:
+        # A window that a third of all documents hold is one key: documents are dealt to lanes, and windows go to each.
+        spread = windows.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
+        joined = held.withColumn("lane", F.pmod("rid", F.lit(LANES))).join(spread, ["h", "lane"])
+    joined = joined.where(F.size("slots") == F.size("doc_slots"))
+    pairs = F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    window = F.struct("pos", pairs.alias("pairs"))
     first = ~(F.col("other") | F.col("doc_other"))
-    aligned = joined.groupBy("rid", "entry", (F.col("at") - F.col("pos")).alias("shift")).agg(
-        F.first("n").alias("n"), F.first("item").alias("item"), F.collect_set("pos").alias("all_pos"),
-        F.collect_set(F.when(F.size("slots") == 0, F.col("pos"))).alias("plain_pos"),
-        F.collect_set(F.when(first, F.col("pos"))).alias("first_pos"),
-        F.flatten(F.collect_set(pairs)).alias("pairs"),
-        F.flatten(F.collect_set(F.when(first, pairs))).alias("first_pairs"),
-    )
-
-    def agree(column: str) -> Column:
-        distinct = F.size(F.array_distinct(column))
-        return (distinct == F.size(F.array_distinct(f"{column}.a"))) & (distinct == F.size(F.array_distinct(f"{column}.b")))
-
-    without = F.when(agree("first_pairs"), F.array_union("plain_pos", "first_pos")).otherwise(F.col("plain_pos"))
-    agreeing = aligned.select("rid", "entry", "item", "n", F.explode(F.when(agree("pairs"), F.col("all_pos")).otherwise(without)).alias("pos"))
-    shares = agreeing.distinct().groupBy("rid", "entry").agg(F.first("item").alias("item"), (F.count(F.lit(1)) / F.first("n")).alias("share"))
+    aligned = joined.groupBy("rid", "entry", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(window).alias("all"), F.collect_set(F.when(first, window)).alias("firsts"))
+    agreeing = aligned.select("rid", "entry", F.explode(F.array_union(_agreeing("all"), _agreeing("firsts"))).alias("pos"))
+    covered = agreeing.groupBy("rid", "entry").agg(F.count_distinct("pos").alias("held"))
+    shares = covered.join(classes, "entry").select("rid", "item", "n_items", (F.col("held") / F.col("n")).alias("share"))
     best = shares.groupBy("rid").agg(
-        F.count_if(F.col("share") >= share).alias("n_items"),
+        F.coalesce(F.sum(F.when(F.col("share") >= share, F.col("n_items"))), F.lit(0)).alias("n_items"),
         F.max("share").alias("best_share"),
         F.min(F.struct((-F.col("share")).alias("s"), F.col("item").alias("item")))["item"].alias("best_item"),
     )
@@ -344,14 +403,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item. A null key is matched as a key of its own."""
-    bad = contamination(docs, benchmark, key, text).where("contaminated").select(F.col("doc_id").alias("__bad_key")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("__bad_key")), "left_anti")
-
-
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item. Each is judged by its own text, so keys may be null or repeat."""
     judged = docs.select(text_id(text).alias("id"), F.col(text).alias("text"))
     bad = contamination(judged, benchmark, "id").where("contaminated").select(F.col("doc_id").alias("__bad_text")).distinct()
-    return docs.join(bad, text_id(docs[text]) == F.col("__bad_text"), "left_anti")
+    return without(docs, bad, text_id(docs[text]) == F.col("__bad_text"))
