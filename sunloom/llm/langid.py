@@ -6,7 +6,8 @@ n-grams over the root of the product of their sizes. A Nystroem map over
 landmark texts turns it into features; one-versus-rest kernel ridge regression
 is fitted on them. As a text's kernel row is its presence row times the
 landmarks, landmarks and ridge weights fold into one matrix, and scoring is a
-matrix product for each batch of texts.
+matrix product for each batch of texts. With more languages than features the
+two stay apart, so that the model grows by a few kilobytes for each language.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BUCKETS = 1 << 15
 PER_LANGUAGE, IN_ALL = 512, 8192
 #: Times as many texts as are wanted that the first bound on their hashes lets through.
 REACH = 4.0
-LANDMARKS = 48
-MAX_LANGUAGES = 256
+#: Landmark texts of each language at most, and in all; up to that many languages, each has one at least.
+LANDMARKS, LANDMARKS_IN_ALL = 48, 1024
 RIDGE = 1e-2
 #: Turns ridge outputs into shares.
 SHARPNESS = 6.0
@@ -68,12 +69,15 @@ def presence(text: str, out: np.ndarray) -> bool:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
-    #: BUCKETS x languages.
-    weights: np.ndarray
+    #: Matrices whose product is BUCKETS x languages.
+    weights: tuple[np.ndarray, ...]
 
     def shares(self, rows: np.ndarray) -> np.ndarray:
         """Of presence rows the share of each language."""
-        out = (rows @ self.weights) / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+        out = rows
+        for w in self.weights:
+            out = out @ w
+        out = out / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
         out = np.exp(SHARPNESS * (out - out.max(axis=1, keepdims=True)))
         return out / out.sum(axis=1, keepdims=True)
 
@@ -88,40 +92,51 @@ def fit(rows: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, rid
     """From presence rows and their languages. Rows packed to bits are unpacked a block at a time."""
     names = sorted(set(languages.tolist()))
     if not names:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
-    chosen = np.concatenate([np.flatnonzero(languages == n)[:landmarks] for n in names])
+        return LanguageModel([], (np.zeros((BUCKETS, 0), np.float32),))
+    landmarks = min(landmarks, max(1, LANDMARKS_IN_ALL // len(names)))
+    number = np.searchsorted(names, languages)
+    order = np.argsort(number, kind="stable")
+    ranked = np.empty(len(order), np.int64)
+    ranked[order] = np.arange(len(order)) - np.searchsorted(number[order], number[order])
+    chosen = order[ranked[order] < landmarks]
+    if len(chosen) > LANDMARKS_IN_ALL:
+        chosen = chosen[np.linspace(0, len(chosen) - 1, LANDMARKS_IN_ALL).astype(np.int64)]
     marks = _unit_rows(rows[chosen])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
     features = np.concatenate([_unit_rows(rows[i : i + BATCH]) @ marks.T for i in range(0, len(rows), BATCH)]) @ root
-    wanted = np.where(languages[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # Each language weighs the same, however many texts it gave.
-    share = 1.0 / np.array([(languages == n).sum() for n in names])[np.searchsorted(names, languages)]
-    weighed = features * share[:, None]
-    solved = np.linalg.solve(weighed.T @ features + ridge * np.eye(features.shape[1]) / len(names), weighed.T @ wanted)
-    return LanguageModel(names, (marks.T @ (root @ solved).astype(np.float32)).astype(np.float32))
+    weighed = features / np.bincount(number)[number][:, None]
+    # weighed.T @ (1 where a text is of the language, else -1), without that matrix of texts by languages.
+    of_language = np.zeros((len(names), features.shape[1]))
+    np.add.at(of_language, number, weighed)
+    wanted = 2 * of_language.T - weighed.sum(axis=0)[:, None]
+    solved = np.linalg.solve(weighed.T @ features + ridge * np.eye(features.shape[1]) / len(names), wanted)
+    if len(names) <= len(chosen):
+        return LanguageModel(names, ((marks.T @ (root @ solved).astype(np.float32)).astype(np.float32),))
+    return LanguageModel(names, (marks.T.copy(), (root @ solved).astype(np.float32)))
 
 
 def training_rows(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """Packed presence rows of a bounded sample: of each language the texts with the least hashes."""
+    """Packed presence rows of a bounded sample: of each language the texts with the least hashes.
+
+    The driver sees one row per language, as the model does; more than ``IN_ALL``
+    languages give one text each.
+    """
     labelled = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     hashed = labelled.withColumn("h", F.xxhash64("text"))
     # Copies of a text are one text.
     distinct = cut(hashed.select("lang", "h").distinct())
-    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}
     if not counts:
         return np.zeros((0, BUCKETS // 8), np.uint8), np.empty(0, object)
     each = min(PER_LANGUAGE, max(1, IN_ALL // len(counts)))
     # First a bound on the hash, so that few are ranked; it is raised for a language that got fewer texts than it has.
     reach = dict.fromkeys(counts, REACH * each + 32)
     while True:
-        bound = F.lit(None).cast("double")
-        for name, n in counts.items():
-            bound = F.when(F.col("lang") == name, F.lit(min(1.0, reach[name] / n))).otherwise(bound)
-        near = distinct.where((F.col("h") / 2.0**64 + 0.5) <= bound)
+        bounds = df.sparkSession.createDataFrame([(name, min(1.0, reach[name] / n)) for name, n in counts.items()], "lang string, bound double")
+        near = distinct.join(F.broadcast(bounds), "lang").where((F.col("h") / 2.0**64 + 0.5) <= F.col("bound"))
         least = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each).select("lang", "h"))
         got = {r["lang"]: r["count"] for r in least.groupBy("lang").count().collect()}
         short = [name for name, n in counts.items() if got.get(name, 0) < min(each, n)]

@@ -40,6 +40,13 @@ def test_unknown_and_awkward(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def presence_rows(texts):
+    rows = np.zeros((len(texts), langid.BUCKETS), np.float32)
+    for row, t in zip(rows, texts, strict=True):
+        langid.presence(t, row)
+    return rows
+
+
 def test_folded_weights_equal_kernel_rows():
     rows = np.zeros((12, langid.BUCKETS), np.float32)
     for i in range(12):
@@ -51,6 +58,40 @@ def test_folded_weights_equal_kernel_rows():
     assert [model.languages[i] for i in model.shares(rows).argmax(axis=1)] == names.tolist()
 
 
+@pytest.mark.parametrize("in_all", [1024, 2])
+def test_scores_equal_kernel_ridge_solved_directly(monkeypatch, in_all):
+    """The model against a ridge in the landmarks' kernels, without a Nystroem map and without folding."""
+    monkeypatch.setattr(langid, "LANDMARKS_IN_ALL", in_all)
+    pools = {"de": GERMAN, "en": ("the", "and", "of", "sun", "moon", "river"), "es": SPANISH}
+    texts = [prose(i, 20, pools[sorted(pools)[i % 3]]) for i in range(30)]
+    names = np.array([sorted(pools)[i % 3] for i in range(30)], object)
+    wide = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    grams = [set(np.flatnonzero(r).tolist()) for r in presence_rows(texts)]
+    model = langid.fit(presence_rows(texts), names, landmarks=4)
+    assert len(model.weights) == (1 if in_all == 1024 else 2)
+    marks = [i for n in sorted(pools) for i in [k for k in range(30) if names[k] == n][:4]] if in_all == 1024 else [i for n in ("de", "es") for i in [k for k in range(30) if names[k] == n][:1]]
+    k_nm, k_mm = wide(grams, [grams[i] for i in marks]), wide([grams[i] for i in marks], [grams[i] for i in marks])
+    weight = np.diag([1 / sum(names == n) for n in names])
+    sought = np.array([[1.0 if n == m else -1.0 for m in sorted(pools)] for n in names])
+    alpha = np.linalg.solve(k_nm.T @ weight @ k_nm + langid.RIDGE / 3 * k_mm, k_nm.T @ weight @ sought)
+    new = presence_rows([prose(100 + i, 15, pools[sorted(pools)[i % 3]]) for i in range(9)])
+    raw = wide([set(np.flatnonzero(r).tolist()) for r in new], [grams[i] for i in marks]) @ alpha
+    share = np.exp(langid.SHARPNESS * raw)
+    assert model.shares(new) == pytest.approx(share / share.sum(axis=1, keepdims=True), abs=1e-3)
+
+
+def test_many_languages(spark):
+    """300 languages, each with words of its own letters."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    rows = []
+    for i in range(300):
+        words = ["".join(letters[3 * i + (k >> b) % 3] for b in range(4)) for k in range(12)]
+        rows += [(10 * i + j, prose(10 * i + j, 12, words), f"l{i:03}", "a") for j in range(8)]
+    out = langid.held_out_languages(documents(spark, rows)).collect()
+    want = {d: lang for d, _, lang, _ in rows}
+    assert np.mean([r.lang_pred == want[r.doc_id] for r in out if r.held_out]) > 0.95
+
+
 def test_presence_is_of_the_whole_text():
     one, two = np.zeros(langid.BUCKETS, np.uint8), np.zeros(langid.BUCKETS, np.uint8)
     langid.presence("a" * 200_000, one)
