@@ -16,6 +16,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 #: Keys that are broadcast at most (about 20 MB as a hash table).
 BROADCAST_KEYS = 200_000
+#: Rows up to which a group is never taken for a large one.
+LARGE_GROUP = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only in a local session that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root and context._jsc.sc().getCheckpointDir().isDefined():
         root = context._jsc.sc().getCheckpointDir().get()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sunloom-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
@@ -73,15 +77,36 @@ def without(df: DataFrame, keys: DataFrame, same: Column) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, same, "left_anti")
 
 
-def keep_by_key(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is in the one column of ``kept`` (null matches null), one row for each key.
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each ``key``, null keys match nothing; ``size`` is how many rows have it).
 
-    Only rows whose key repeats go through a distinct; the others are not moved for it.
+    A group with over a thousandth of all rows would be one large task. There are
+    at most a thousand of these, so they are broadcast, and only the other rows
+    are dealt by their key. Both inputs are read twice: they should be checkpoints.
     """
-    wanted = kept.select(kept[kept.columns[0]].alias("__kept_key")).distinct()
-    found = df.join(wanted, df[key].eqNullSafe(F.col("__kept_key")), "left_semi")
-    repeated = df.groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again")
+    most = max(LARGE_GROUP, (groups.agg(F.sum(size)).first()[0] or 0) // 1000)
+    large = cut(groups.where(F.col(size) > most))
+    if large.isEmpty():
+        return rows.join(groups, key, how)
+    hot = rows.join(F.broadcast(large), key)
+    cold = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(F.col(size) <= most), key, how)
+    return hot.unionByName(cold)
+
+
+def keep_rows(df: DataFrame, place: Column, kept: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose place is in the one column of ``kept``, one row for each place. Places are never null.
+
+    Only rows whose place repeats go through a distinct, and few places that go
+    are broadcast instead of moving ``df``.
+    """
+    marked = df.withColumn("__place", place)
+    wanted = kept.select(F.col(kept.columns[0]).alias("__kept"))
+    counts = cut(marked.groupBy(F.col("__place").alias("__own")).agg(F.count(F.lit(1)).alias("__n")))
+    found = without(marked, counts.join(wanted, F.col("__own") == F.col("__kept"), "left_anti").select("__own"), F.col("__place") == F.col("__own"))
+    repeated = cut(counts.where("__n > 1").select("__own"))
     if repeated.isEmpty():
-        return found
-    again = df[key].eqNullSafe(F.col("__again"))
-    return found.join(repeated, again, "left_anti").unionByName(found.join(repeated, again, "left_semi").dropDuplicates([key]))
+        return found.drop("__place")
+    few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    again = F.broadcast(repeated) if few else repeated
+    same = F.col("__place") == F.col("__own")
+    return found.join(again, same, "left_anti").unionByName(found.join(again, same, "left_semi").dropDuplicates(["__place"])).drop("__place")

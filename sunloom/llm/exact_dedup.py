@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import SPACE_CLASS, cut, empty_text, keep_by_key
+from sunloom.llm.common import SPACE_CLASS, cut, empty_text, keep_rows, with_group
 
-#: A chunk has 256 to 1024 characters and ends after a rare letter pair, else at 1024.
-CHUNK_PATTERN = r"(?s).{256,1022}?[aeinorst][dghklmpuy](?=[ \p{Punct}])|.{1,1024}"
+# Letters of other scripts that may end a chunk, at a word's end or anywhere.
+_WORD_ENDS = r"\u03B1-\u03B8\u03C2\u0430-\u0437\u044B-\u0451\u05D0-\u05D5\u0627-\u062D\u0905-\u0914\u0E01-\u0E0F"
+_ANYWHERE = r"\u3002\uFF0C\u3041-\u304A\u30A1-\u30AA\u4E00-\u4EFF\uAC00-\uADFF"
+#: A chunk has 256 to 1024 characters and ends after a rare letter pair or letter, else at 1024.
+CHUNK_PATTERN = rf"(?s).{{256,1022}}?(?:(?:[aeinorst][dghklmpuy]|[{_WORD_ENDS}])(?=[ \p{{Punct}}])|[{_ANYWHERE}])|.{{1,1024}}"
 
 
 def normalise(text: str | Column) -> Column:
@@ -65,9 +68,10 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", pattern
             F.sha2(F.col("norm"), 256).alias("text_sha256"),
         )
     )
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    repeated = groups.where("group_size > 1")
-    return recipes.join(repeated, "recipe", "left").select(
+    # Documents find their group by 32 bytes instead of the recipe, which grows with the text: equal recipes are equal texts.
+    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("text_sha256"))
+    repeated = cut(groups.where("group_size > 1").drop("recipe"))
+    return with_group(recipes.drop("recipe"), repeated, "text_sha256", "group_size", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -77,9 +81,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", pattern
 
 
 def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, one for each distinct text, with all their columns.
-
-    Rows that share the smallest key of a group are one document: one of them stays.
-    """
-    kept = exact_groups(df, key, text).where("kept").select("doc_id")
-    return keep_by_key(df, key, kept)
+    """The rows of ``df`` that stay, one for each distinct text, with all their columns; keys may be null or repeat."""
+    kept = exact_groups(df, key, text).where("kept").select(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text_sha256").alias("text")).alias("place"))
+    place = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.sha2(normalise(F.col(text)), 256).alias("text"))
+    return keep_rows(df, place, kept.distinct())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import byte_texts, cut, keep_by_key, text_id
+from sunloom.llm.common import byte_texts, cut, keep_rows, text_id, with_group
 from sunloom.llm.hashing import shingle_hashes, words_of
 
 WIDTH, BUDGET, BITS = 4, 4, 64
@@ -146,10 +146,11 @@ def blocks_for(n: int, budget: int = BUDGET, share: int = 64) -> int:
     return budget + 4
 
 
-def block_keys(blocks: int, budget: int = BUDGET) -> list[int]:
-    """Bit masks of every choice of ``blocks - budget`` blocks."""
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+def block_keys(blocks: int, budget: int = BUDGET, among: int = -1) -> list[int]:
+    """Bit masks of every choice of ``blocks - budget`` blocks of the bits of ``among``."""
+    bits = [i for i in range(BITS) if among >> i & 1]
+    edges = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(c) for c in combinations(masks, blocks - budget)]
 
 
@@ -160,9 +161,24 @@ def _signed(x: int) -> int:
 def link_forest(prints: DataFrame, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
     """Links (a, b) that span the components of the distinct fingerprints ``prints.fp``."""
     masks = block_keys(blocks_for(prints.count(), budget), budget)
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(choices).alias("k")).select("fp", F.xxhash64("k.choice", "k.bits").alias("group"))
-    sizes = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def keyed_by(rows: DataFrame, masks: list[int]) -> DataFrame:
+        choices = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for m in masks])
+        return rows.select("fp", F.explode(choices).alias("k")).select("fp", F.xxhash64("k.mask", "k.bits").alias("group"))
+
+    keyed = keyed_by(prints, masks)
+    sizes = cut(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    over = sizes.where(F.col("n") > part_rows)
+    if not over.isEmpty():
+        # Members of a large group first get longer keys: of the bits that they don't share by their choice, a link agrees on two of six further blocks.
+        fine = None
+        for mask in masks:
+            own = keyed_by(prints, [mask]).join(over.select("group"), "group", "left_semi")
+            more = keyed_by(own.select("fp"), [mask | m for m in block_keys(budget + 2, budget, ~mask)])
+            fine = more if fine is None else fine.unionByName(more)
+        # Two choices may come to the same longer key.
+        keyed = cut(keyed.join(over.select("group"), "group", "left_anti").unionByName(fine.distinct()))
+        sizes = cut(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     large = cut(sizes.where(F.col("n") > part_rows).select("group", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")))
     rows = keyed.join(sizes.select("group"), "group", "left_semi").withColumn("part", F.lit(0)).withColumn("with", F.lit(0))
     if not large.isEmpty():
@@ -199,21 +215,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every linked node, root being the component's smallest node.
 
     Alternates large-star and small-star steps; each is one grouped minimum that
-    is combined before the shuffle and one join, and no step lists a node's
-    neighbours in one task.
+    is combined before the shuffle and one join, in which nodes with very many
+    neighbours are broadcast instead of being dealt by their key. Raises if the
+    components don't settle in ``rounds`` rounds (paths halve in each).
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
 
     def least(both: DataFrame) -> DataFrame:
-        return both.groupBy("u").agg(F.min("v").alias("m"))
+        return cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+
+    def joined_least(both: DataFrame, low: DataFrame) -> DataFrame:
+        return with_group(both, low, "u", "n").drop("n")
 
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = least(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = cut(large)
         small_low = least(large)
-        joined = large.join(small_low, "u")
+        joined = joined_least(large, small_low)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small_low.select("u", F.col("m").alias("v"))).distinct()
         small = cut(small)
         before, edges = edges, small
@@ -231,13 +251,12 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     can clash. An empty table gives an empty result.
     """
     rows = cut(fingerprints(df, key, text, width))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = cut(components(link_forest(prints.select("fp"), budget)))
-    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    placed = cut(placed)
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    lookup = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    placed = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    ids = cut(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    lookup = cut(with_group(placed, ids, "root", "prints").select("fp", "component_id", "n"))
+    return with_group(rows, lookup, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text(fp: str | Column) -> Column:
@@ -245,13 +264,15 @@ def fingerprint_text(fp: str | Column) -> Column:
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """Rows of ``df`` that stay: of each component the document with the smallest key, once.
+    """Rows of ``df`` that stay: of each component the row with the smallest key, null last, then the smallest text hash; once if it repeats.
 
-    A key names a document. A row without one is a document by its text, and
-    comes after all keys.
+    Keys may be null or repeat: what goes or stays is a key with its text.
     """
-    own = F.when(F.col(key).isNull(), F.coalesce(text_id(text), F.lit(b"")))
-    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), own.alias("text"))
-    placed = df.withColumn("__place", place)
-    keep = near_components(placed, "__place", text, width, budget).select("component_id").distinct()
-    return keep_by_key(placed, "__place", keep).drop("__place")
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.coalesce(text_id(text), F.lit(b"")).alias("text"))
+    components_of = near_components(df.select(place.alias("place"), F.col(text).alias("text")), "place", "text", width, budget)
+    # A null would match no other in a join, so places are compared by their text form.
+    plain = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.coalesce(text_id(text), F.lit(b"")).alias("text"))
+    kept = components_of.select("component_id").distinct().select(
+        F.struct(F.col("component_id.none").alias("none"), F.coalesce(F.col("component_id.key").cast("string"), F.lit("")).alias("key"), F.col("component_id.text").alias("text")).alias("place")
+    )
+    return keep_rows(df, plain, kept)

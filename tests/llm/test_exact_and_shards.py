@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sunloom.llm import exact_dedup, sharding
+from sunloom.llm import common, exact_dedup, sharding
 from sunloom.llm.queries import sharding_sql
 
 from .helpers import awkward, documents, prose
@@ -91,3 +92,28 @@ def test_directory(spark):
     out = sharding.directory(sharding.shard_documents(df, 2000)).collect()
     assert sum(r.slots for r in out) == 2 ** out[0].global_depth
     assert sum(r.shard_docs for r in out) == 200
+
+
+def test_keys_that_repeat_with_other_texts_stay(spark):
+    rows = [(1, "one", "en", "a"), (1, "two", "en", "a"), (1, "two", "en", "a"), (2, "one", "en", "a"), (None, "three", "en", "a"), (None, "four", "en", "a"), (None, "two", "en", "a")]
+    kept = exact_dedup.exact_dedup(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "one"), ("1", "two"), ("None", "four"), ("None", "three")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_large_groups_join_like_others(spark, monkeypatch, how):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(3000)] + [(-1, None), (-2, 10**6)], "id long, k long")
+    groups = rows.where("k is not null and id >= 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    want = sorted(map(str, rows.join(groups, "k", how).select("id", "k", "n", "last").collect()))
+    for least in (256, 10**9):
+        monkeypatch.setattr(common, "LARGE_GROUP", least)
+        assert sorted(map(str, common.with_group(rows, groups, "k", "n", how).select("id", "k", "n", "last").collect())) == want
+
+
+def test_chunks_of_other_scripts_depend_on_content(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("абвгдежзиклмнопрст ") for _ in range(6000)), "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(6000))]
+    for t in texts:
+        df = spark.createDataFrame([(t,), ("x" + t,)], "t string")
+        one, two = (set(row.c) for row in df.select(exact_dedup.chunks_of(F.col("t")).alias("c")).collect())
+        assert len(one & two) >= 0.7 * len(one)

@@ -122,3 +122,25 @@ def test_components_of_chains_and_stars(spark):
 def test_empty(spark):
     assert simhash.near_components(awkward(spark).limit(0)).count() == 0
     assert simhash.near_dedup(awkward(spark).limit(0)).count() == 0
+
+
+def test_keys_that_repeat_with_other_texts_stay(spark):
+    one, two = prose(1, 80), prose(2, 80)
+    rows = [(5, one, "en", "a"), (5, two, "en", "a"), (5, two, "en", "a"), (9, one + " end", "en", "a"), (None, two + " end", "en", "a")]
+    kept = simhash.near_dedup(documents(spark, rows)).collect()
+    prints = [plain_fingerprint(t) for _, t, _, _ in rows]
+    assert plain_components(prints, list(range(5))) == [0, 1, 1, 0, 1]
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, one), (5, two)])
+
+
+def test_hot_prints_and_components(spark, monkeypatch):
+    """Large groups go another way through the joins, with the same result."""
+    from sunloom.llm import common
+
+    monkeypatch.setattr(common, "LARGE_GROUP", 3)
+    base = prose(1, 300).split()
+    rows = [(i, " ".join(base[:i] + ["Changed"] + base[i + 1 :]), "en", "a") for i in range(0, 300, 10)] + [(1000 + i, prose(3, 20), "en", "b") for i in range(40)] + [(2000 + i, prose(50 + i, 30), "en", "b") for i in range(20)]
+    df = documents(spark, rows)
+    prints = [plain_fingerprint(t) for _, t, _, _ in rows]
+    want = dict(zip([r[0] for r in rows], plain_components(prints, [r[0] for r in rows]), strict=True))
+    assert {r.doc_id: r.component_id for r in simhash.near_components(df).collect()} == want
