@@ -127,7 +127,7 @@ class Columns:
 class Canonicaliser:
     """Texts as arrays of template hashes, kinds and value hashes. Words are remembered up to a fixed number."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 600_000) -> None:
         self.most = most
         self._clear()
 
@@ -161,15 +161,22 @@ class Canonicaliser:
         kinds, values, names = self.tokens.arrays
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         n = many[ids]
-        opens = np.r_[True, ends[ids[:-1]]][: len(ids)]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(first[ids], n) + within
+        opens = np.ones(len(ids), bool)
+        opens[1:] = ends[ids[:-1]]
+        at = first[ids]
+        if (n != 1).any():
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, opens = np.repeat(at, n) + within, np.repeat(opens, n)
         kind, value = kinds[at], values[at]
-        opens = np.repeat(opens, n)
-        kind = np.where((kind == UNIT) & ~np.r_[False, kind[:-1] == NUMBER][: len(kind)], LITERAL, kind)
+        lone = kind == UNIT
+        lone[1:] &= kind[:-1] != NUMBER
+        kind[lone] = LITERAL
         name = (kind == LITERAL) & names[at]
-        kind = np.where(name & ~opens, NAME, kind)
-        return np.where(kind == LITERAL, value, _KIND_HASH[kind]), kind, value, name & opens
+        kind[name & ~opens] = NAME
+        placed = np.flatnonzero(kind)
+        template = value.copy()
+        template[placed] = _KIND_HASH[kind[placed]]
+        return template, kind, value, name & opens
 
 
 def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
@@ -189,14 +196,16 @@ def other_readings(template: np.ndarray, either: np.ndarray, width: int) -> tupl
     n = len(template) - width + 1
     if n < 1 or width < 1 or not either.any():
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    pattern = np.convolve(either, 1 << np.arange(width)[::-1], "valid").astype(np.int64)
+    pattern = np.zeros(n, np.int64)
+    for i in range(width):
+        pattern |= either[i : i + n].astype(np.int64) << i
     at = np.flatnonzero(pattern)
     bits = pattern[at]
     several = np.flatnonzero(bits & (bits - 1))
     if len(several):  # the readings between all words as names and none
         more = [(at[i], mask) for i in several.tolist() for mask in range(1, int(bits[i])) if mask & ~int(bits[i]) == 0]
-        at = np.r_[at, [a for a, _ in more]]
-        bits = np.r_[bits, [m for _, m in more]]
+        at = np.concatenate([at, [a for a, _ in more]])
+        bits = np.concatenate([bits, [m for _, m in more]])
     out = np.full(len(at), width, np.uint64)
     for i in range(width):
         token = np.where((bits >> i) & 1 == 1, _KIND_HASH[NAME], template[at + i])
@@ -349,13 +358,15 @@ def _candidates(docs: DataFrame, text: str, bitmap: np.ndarray, widths: list[int
 
 
 def _agreeing(windows: str) -> Column:
-    """Positions of those of an alignment's windows (pos, pairs) whose slots agree with all others'."""
-    pairs = f"array_distinct(flatten(transform({windows}, w -> w.pairs)))"
+    """Positions of those of an alignment's windows (pos, pairs) whose slots agree with all others'.
+
+    A one-element array binds a value that a lambda uses, so it is computed once.
+    """
+    pairs = f"array(array_distinct(flatten(transform({windows}, w -> w.pairs))))"
     # A value of the item that stands for two of the document, or a name of the document that stands for two of the item (names are even).
-    clashes = (
-        f"filter({pairs}, p -> exists({pairs}, q -> (q.a = p.a AND q.b <> p.b) OR (q.b = p.b AND q.a <> p.a AND q.a % 2 = 0 AND p.a % 2 = 0)))"
-    )
-    return F.expr(f"transform(filter({windows}, w -> NOT arrays_overlap(w.pairs, {clashes})), w -> w.pos)")
+    clashing = "filter(ps, p -> exists(ps, q -> (q.a = p.a AND q.b <> p.b) OR (q.b = p.b AND q.a <> p.a AND q.a % 2 = 0 AND p.a % 2 = 0)))"
+    kept = f"transform(filter({windows}, w -> NOT arrays_overlap(w.pairs, bad)), w -> w.pos)"
+    return F.expr(f"flatten(flatten(transform({pairs}, ps -> transform(array({clashing}), bad -> {kept}))))")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
