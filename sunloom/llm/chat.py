@@ -5,11 +5,15 @@ prefixes of longer ones. Each conversation gets a rolling hash after every turn;
 one whose full hash equals a longer one's hash at the same turn is dropped by
 an anti-join, and of identical conversations the smallest conv_id stays. Only
 then are conversations rendered.
+
+The rolling hash is the running exclusive-or of hashes of the turns with their
+numbers, two of 64 bits each, so it takes one pass in the number of turns.
+Prefixes count as equal by these 128 bits and the number of turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunloom.llm.common import cut
@@ -28,19 +32,20 @@ def render_text(role: str, text: str) -> str:
 
 
 def ordered_turns(df: DataFrame) -> DataFrame:
-    """One row per conversation with its turns in order and the rolling hash after each of them."""
+    """One row per conversation with its turns in order, and each turn's hashes with its number."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # A set on either side of the shuffle, so repeated rows are moved at most once for each task.
     listed = df.groupBy("conv_id").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
-    start = F.array().cast("array<struct<a:bigint,b:bigint>>")
 
-    def roll(done: Column, turn: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        a = F.xxhash64(F.coalesce(last["a"], F.lit(0)), turn["role"], turn["text"])
-        b = F.xxhash64(turn["text"], turn["role"], F.coalesce(last["b"], F.lit(1)), F.lit(7))
-        return F.concat(done, F.array(F.struct(a.alias("a"), b.alias("b"))))
+    def hashes(turn: Column, at: Column) -> Column:
+        a = F.xxhash64(at, turn["role"], turn["text"])
+        return F.struct(a.alias("a"), F.xxhash64(turn["text"], turn["role"], at, F.lit(7)).alias("b"))
+
+    return listed.withColumn("hashes", F.transform("turns", hashes)).withColumn("n_turns", F.size("turns"))
+
 
-    return listed.withColumn("rolling", F.aggregate("turns", start, roll))
+def _whole(half: str) -> Column:
+    return F.aggregate(f"hashes.{half}", F.lit(0).cast("long"), lambda done, h: done.bitwiseXOR(h))
 
 
 def maximal_conversations(df: DataFrame) -> DataFrame:
@@ -51,12 +56,14 @@ def maximal_conversations(df: DataFrame) -> DataFrame:
     A null conv_id is a conversation like any other. Columns beside the four are
     ignored. An empty table gives an empty result.
     """
-    folded = cut(ordered_turns(df).withColumn("n_turns", F.size("turns")).withColumn("whole", F.element_at("rolling", -1)))
-    slim = folded.select("conv_id", "n_turns", "whole", "rolling")
-    first = slim.groupBy("n_turns", "whole").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
-    shorter = slim.select(F.posexplode(F.slice("rolling", F.lit(1), F.col("n_turns") - 1)).alias("at", "whole"))
-    proper = shorter.select((F.col("at") + 1).alias("n_turns"), "whole").distinct()
-    kept = first.join(proper, ["n_turns", "whole"], "left_anti").select(F.col("conv_id").alias("__keep"), "n_copies")
+    folded = cut(ordered_turns(df).withColumn("a", _whole("a")).withColumn("b", _whole("b")))
+    whole = ["n_turns", "a", "b"]
+    first = folded.groupBy(*whole).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    each = folded.where("n_turns > 1").select("conv_id", "n_turns", F.posexplode("hashes").alias("at", "h"))
+    running = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = each.select("n_turns", (F.col("at") + 1).alias("after"), F.bit_xor("h.a").over(running).alias("a"), F.bit_xor("h.b").over(running).alias("b"))
+    proper = rolled.where("after < n_turns").select(F.col("after").alias("n_turns"), "a", "b").distinct()
+    kept = first.join(proper, whole, "left_anti").select(F.col("conv_id").alias("__keep"), "n_copies")
     joined = folded.join(kept, F.col("conv_id").eqNullSafe(F.col("__keep")))
     return joined.select("conv_id", "turns", F.col("n_turns").cast("int").alias("n_turns"), "n_copies")
 

@@ -1,17 +1,20 @@
 """Mixing sources to target weights by min-cost flow.
 
 Documents are aggregated by membership pattern (the set of sources they belong
-to). A small flow network routes each pattern's tokens to the sources' quotas;
-the n-th repetition of a token costs n - 1, so that repeats are used last and
-evenly. Documents of a pattern are then laid on a line in seeded hash order,
-and the flows cover that line from its start, as often as needed: a document is
-taken once for each time that its midpoint is covered.
+to). A small flow network routes the tokens of patterns that overlap to their
+sources' quotas; the n-th repetition of a token costs n - 1, so that repeats are
+used last and evenly. A source that shares no document with another needs no
+network: its own pattern fills its quota. Documents of a pattern are then laid on
+a line in seeded hash order, and the flows cover that line from its start, as
+often as needed: a document is taken once for each time that its midpoint is
+covered.
 """
 
 from __future__ import annotations
 
 import json
-from collections import deque
+import math
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
@@ -24,10 +27,12 @@ from sunloom.llm.common import byte_texts, cut
 PRODUCTION_WEIGHTS = (5, 2, 1)
 #: Copies of a document that a mix may hold at most.
 MAX_COPIES = 3
-#: The driver solves the flow over this many patterns at most, and refuses more.
-MAX_PATTERNS = 20_000
-#: Hash ranges per pattern; the rows of one range are ordered in one task.
-RANGE_BITS = 14
+#: The driver solves the flow over patterns that share sources. It sees this many of them at most, and refuses more.
+MAX_OVERLAPS = 20_000
+#: Sources whose targets the driver shares out; of more, their table is shared out by aggregates.
+DRIVER_SOURCES = 20_000
+#: Hash ranges per pattern, in bits: coarse ones, and fine ones in each; the rows of one fine range are ordered in one task.
+COARSE_BITS, FINE_BITS = 7, 7
 SEED = 20_240_601
 
 
@@ -68,6 +73,43 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = PRODUCTION_
     return {s: float(v) for s, v in fixed.items()}
 
 
+def target_table(sources: DataFrame, weights: Sequence[float] = PRODUCTION_WEIGHTS, most: int = MAX_COPIES, driver_sources: int | None = None) -> DataFrame:
+    """(source, source_size, target) from (source, source_size), a checkpoint with one row for each source.
+
+    Many sources are ranked by ranges, and each round in which some reach their
+    limit is one aggregate over the table; the driver sees a row for each range.
+    """
+    spark = sources.sparkSession
+    driver_sources = DRIVER_SOURCES if driver_sources is None else driver_sources
+    if sources.limit(driver_sources + 1).count() <= driver_sources:
+        sizes = {r["source"]: r["source_size"] for r in sources.collect()}
+        return spark.createDataFrame([(s, sizes[s], t) for s, t in targets(sizes, weights, most).items()], "source string, source_size long, target double")
+    ranged = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
+    starts = [(p, sum(n for q, n in counts.items() if q < p)) for p in counts]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("start")
+    whole = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in whole))
+    weight = F.element_at(F.array(*[F.lit(int(w * scale)) for w in whole]), (F.pmod(place, F.lit(len(whole))) + 1).cast("int"))
+    ranked = cut(ranged.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select("source", "source_size", weight.cast("long").alias("weight")))
+    total = ranked.agg(F.sum("source_size")).first()[0]
+    fixed_size, left, shared = 0, total, ranked.agg(F.sum("weight")).first()[0]
+    free = F.lit(True)
+    exact = "decimal(38,0)"
+    while shared:
+        # A source is above its limit if left * weight / shared > most * size; decimals keep this exact.
+        above = F.col("source_size").cast(exact) * F.lit(most * shared).cast(exact) < F.col("weight").cast(exact) * F.lit(left).cast(exact)
+        row = ranked.agg(F.sum(F.when(above, F.col("source_size"))).alias("size"), F.sum(F.when(above, F.col("weight"))).alias("weight"), F.sum("weight").alias("weights")).first()
+        free = ~above
+        size, stopped = row["size"] or 0, row["weight"] or 0
+        # Whoever was above its limit stays so: the excess only raises the others' shares.
+        if size == fixed_size and row["weights"] - stopped == shared:
+            break
+        fixed_size, left, shared = size, total - most * size, row["weights"] - stopped
+    share = F.lit(left).cast("double") * F.col("weight") / F.lit(max(shared, 1)).cast("double")
+    return ranked.select("source", "source_size", F.when(free, share).otherwise(F.lit(float(most)) * F.col("source_size")).alias("target"))
+
+
 class FlowNetwork:
     """Integer min-cost flow by successive shortest paths."""
 
@@ -139,6 +181,34 @@ def route(patterns: dict[str, tuple[list[str | None], int]], quotas: dict[str |
     return {k: net.room[e ^ 1] for k, e in arcs.items()}
 
 
+def pattern_plans(patterns: DataFrame, weights: Sequence[float] = PRODUCTION_WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+    """(pattern, all_size, flow, source_size, target) from (pattern, members, all_size): the words that the mix takes of each pattern."""
+    spark, patterns = patterns.sparkSession, cut(patterns)
+    sources = cut(patterns.select(F.explode("members").alias("source"), "all_size").groupBy("source").agg(F.sum("all_size").alias("source_size")))
+    aimed = cut(target_table(sources, weights, most))
+    shared = patterns.where(F.size("members") > 1).limit(MAX_OVERLAPS + 1).collect()
+    if len(shared) > MAX_OVERLAPS:
+        raise ValueError(f"more than {MAX_OVERLAPS} patterns of sources that overlap")
+    routed = spark.createDataFrame([], "pattern string, routed long")
+    if shared:
+        names = spark.createDataFrame([(s,) for s in ordered_sources(list({s for r in shared for s in r["members"]}))], "shared string")
+        own = patterns.where(F.size("members") == 1).join(F.broadcast(names), F.element_at("members", 1).eqNullSafe(F.col("shared"))).collect()
+        quotas = {r["source"]: r["target"] for r in aimed.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("shared"))).collect()}
+        flows = route({r["pattern"]: (r["members"], r["all_size"]) for r in [*shared, *own]}, quotas, most)
+        # Of a pattern's flows only their sum matters to how often its documents are taken.
+        sums = Counter()
+        for (pattern, _), flow in flows.items():
+            sums[pattern] += flow
+        routed = spark.createDataFrame(list(sums.items()), "pattern string, routed long")
+    found = patterns.join(aimed, F.try_element_at("members", F.lit(1)).eqNullSafe(F.col("source")) & (F.size("members") > 0), "left").join(F.broadcast(routed), "pattern", "left")
+    return found.select(
+        "pattern", "all_size",
+        F.coalesce("routed", F.bround("target").cast("long"), F.lit(0)).alias("flow"),
+        F.coalesce("source_size", F.lit(0)).alias("source_size"),
+        F.coalesce("target", F.lit(0.0)).alias("target"),
+    )
+
+
 def mix(
     df: DataFrame,
     key: str = "doc_id",
@@ -160,29 +230,21 @@ def mix(
     members = F.array("source") if members is None else members
     counted = word_counts(df, text, [F.col(key).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("members")])
     tie = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.to_json("members"), "size")
-    slim = cut(counted.withColumn("pattern", F.to_json("members")).withColumn("h", tie))
-    found = slim.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = {r["pattern"]: (json.loads(r["pattern"]), r["size"]) for r in found}
-    sizes: dict[str | None, int] = {}
-    for names, size in patterns.values():
-        for s in names:
-            sizes[s] = sizes.get(s, 0) + size
-    if not sizes:
-        return slim.select("doc_id", "members", "size", *(F.lit(0).cast(t).alias(c) for c, t in (("source_size", "long"), ("target", "double"), ("copies", "long"), ("taken", "long"))))
-    quota = targets(sizes, weights, most)
-    flows = route({p: v for p, v in patterns.items() if v[0]}, quota, most)
-    # Of a pattern's flows only their sum matters to how often its documents are taken.
-    plan = [(p, size, sum(flows.get((p, s), 0) for s in names), sizes[names[0]] if names else 0, quota[names[0]] if names else 0.0) for p, (names, size) in patterns.items()]
-    plans = F.broadcast(df.sparkSession.createDataFrame(plan, "pattern string, all_size long, flow long, source_size long, target double"))
-
-    ranged = slim.withColumn("range", F.expr(f"shiftrightunsigned(h, {64 - RANGE_BITS})"))
-    sums = ranged.groupBy("pattern", "range").agg(F.sum("size").alias("range_size"))
-    before = F.sum("range_size").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("pattern", "range", F.coalesce(before, F.lit(0)).alias("start"))
-    inside = F.sum("size").over(Window.partitionBy("pattern", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, ["pattern", "range"]).join(plans, "pattern")
+    slim = cut(counted.withColumn("pattern", F.coalesce(F.to_json("members"), F.lit("[]"))).withColumn("h", tie))
+    plans = pattern_plans(slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("all_size")), weights, most)
+
+    ranged = slim.withColumn("range", F.expr(f"shiftrightunsigned(h, {64 - COARSE_BITS - FINE_BITS})"))
+    sums = cut(ranged.groupBy("pattern", "range").agg(F.sum("size").alias("range_size")).withColumn("coarse", F.expr(f"shiftright(range, {FINE_BITS})")))
+
+    def before(column: str, keys: list[str], order: list[str]) -> Column:
+        return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # No window orders more than 128 ranges, however many documents a pattern has.
+    coarse = sums.groupBy("pattern", "coarse").agg(F.sum("range_size").alias("coarse_size"))
+    coarse = coarse.select("pattern", "coarse", before("coarse_size", ["pattern"], ["coarse"]).alias("coarse_start"))
+    starts = sums.withColumn("fine_start", before("range_size", ["pattern", "coarse"], ["range"])).join(coarse, ["pattern", "coarse"])
+    starts = starts.join(plans, "pattern").select("pattern", "range", (F.col("coarse_start") + F.col("fine_start")).alias("start"), "all_size", "flow", "source_size", "target")
+    placed = ranged.withColumn("inside", before("size", ["pattern", "range"], ["h", "doc_id"])).join(starts, ["pattern", "range"])
     middle = F.col("start") + F.col("inside") + F.expr("size div 2")
     covers = F.expr("flow - __m - 1 + all_size")  # counts k >= 0 with middle + k * all_size < flow
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(F.col("__covers") / F.col("all_size")))

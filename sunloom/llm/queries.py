@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sunloom.llm import chat, decontam, exact_dedup, html_text, langid, lm, mixing, quality, sharding, simhash
 from sunloom.llm.common import table
 
+#: Bytes of a shard where a query shows splits on small tables.
+SMALL_LIMIT = 192 * 1024
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -42,6 +45,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs).select("doc_id", "shard", "shard_depth", "n_bytes", "oversized")
 
 
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op8_sharding`` with shards of 192 KiB, which splits small tables too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs, SMALL_LIMIT).select("doc_id", "shard", "shard_depth", "n_bytes", "oversized")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +72,7 @@ QUERIES = {
         op8_sharding,
         op9_quality,
         op10_decontamination,
+        sharding_small_limit,
     )
 }
 
@@ -117,4 +127,4 @@ FROM depths
 """
 
 
-ORACLE_SQL = {"op2_chat_format": CHAT_SQL, "op6_exact_dedup": DEDUP_SQL, "op8_sharding": sharding_sql()}
+ORACLE_SQL = {"op2_chat_format": CHAT_SQL, "op6_exact_dedup": DEDUP_SQL, "op8_sharding": sharding_sql(), "sharding_small_limit": sharding_sql(SMALL_LIMIT)}

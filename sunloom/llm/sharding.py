@@ -1,9 +1,11 @@
 """Sharding by extendible hashing, with DataFrame functions only.
 
 A document's bucket is a prefix of its hash bits. Only buckets above the byte
-limit split on another bit. The bits are taken ``STEP`` at a time: the bytes of
-every hash cell are summed once, all prefix sums come from that small table in
-one aggregation, and only cells which are still too large take further bits.
+limit split on another bit. The first ``FIRST`` bits are resolved together: the
+bytes of every hash cell, of which there are at most 2^20, are summed once and
+all prefix sums come from that table. Only cells which are still too large go
+down further, ``STEP`` bits at a time, so no pass has more than 16 cells for a
+bucket that has to split.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sunloom.llm.common import cut, empty_text
 
-#: Hash bits in all, and bits resolved by one pass.
-BITS, STEP = 60, 20
+#: Hash bits in all, and bits resolved by the first pass and by each further one.
+BITS, FIRST, STEP = 60, 20, 4
 PRODUCTION_LIMIT = 16 * 1024 * 1024
 
 
@@ -24,19 +26,19 @@ def hash_bits(key: str, text: str) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(cell: Column, depth: Column) -> Column:
-    return F.call_function("shiftright", cell, (F.lit(STEP) - depth).cast("int"))
+def _prefix(cell: Column, depth: Column, step: int) -> Column:
+    return F.call_function("shiftright", cell, (F.lit(step) - depth).cast("int"))
 
 
-def _cell_depths(cells: DataFrame, limit: int) -> DataFrame:
-    """For each (base, cell): the least number of its STEP bits at which its bucket fits; null if none does."""
-    nodes = cells.select("base", "cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(STEP))).alias("depth"))
-    nodes = nodes.withColumn("prefix", _prefix(F.col("cell"), F.col("depth")))
+def _cell_depths(cells: DataFrame, limit: int, step: int) -> DataFrame:
+    """For each (base, cell): the least number of its ``step`` bits at which its bucket fits; null if none does."""
+    nodes = cells.select("base", "cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(step))).alias("depth"))
+    nodes = nodes.withColumn("prefix", _prefix(F.col("cell"), F.col("depth"), step))
     over = nodes.groupBy("base", "depth", "prefix").agg(F.sum("bytes").alias("total")).where(F.col("total") > limit)
     parents = nodes.join(over.select("base", "depth", "prefix"), ["base", "depth", "prefix"], "left_semi")
     deep = parents.groupBy("base", "cell").agg(F.count(F.lit(1)).alias("n_over"))
     return cells.select("base", "cell").join(deep, ["base", "cell"], "left").select(
-        "base", "cell", F.when(F.coalesce("n_over", F.lit(0)) <= STEP, F.coalesce("n_over", F.lit(0)).cast("int")).alias("depth")
+        "base", "cell", F.when(F.coalesce("n_over", F.lit(0)) <= step, F.coalesce("n_over", F.lit(0)).cast("int")).alias("depth")
     )
 
 
@@ -62,24 +64,22 @@ def shard_documents(df: DataFrame, limit: int = PRODUCTION_LIMIT, key: str = "do
         hash_bits(key, text).alias("__h"),
     )
     slim = cut(rows.groupBy("__h").agg(F.sum("n_bytes").alias("bytes")))
-    pending, placed = slim.withColumn("base", F.lit("")), None
-    for level in range(BITS // STEP):
-        cell = F.expr(f"shiftright(__h, {BITS - STEP * (level + 1)}) & {(1 << STEP) - 1}")
-        marked = pending.withColumn("cell", cell)
-        cells = marked.groupBy("base", "cell").agg(F.sum("bytes").alias("bytes"))
-        depths = cut(_cell_depths(cells, limit))
+    pending, placed, done = slim.withColumn("base", F.lit("")), None, 0
+    while done < BITS:
+        step = STEP if done else FIRST
+        done += step
+        marked = pending.withColumn("cell", F.expr(f"shiftright(__h, {BITS - done}) & {(1 << step) - 1}"))
+        cells = cut(marked.groupBy("base", "cell").agg(F.sum("bytes").alias("bytes")))
+        depths = cut(_cell_depths(cells, limit, step))
         found = marked.join(depths, ["base", "cell"])
         here = found.where("depth is not null").select(
-            "__h", F.concat("base", _bit_text(_prefix(F.col("cell"), F.col("depth")), F.col("depth"))).alias("shard")
+            "__h", F.concat("base", _bit_text(_prefix(F.col("cell"), F.col("depth"), step), F.col("depth"))).alias("shard")
         )
         placed = here if placed is None else placed.unionByName(here)
-        too_large = depths.where("depth is null")
-        pending = found.where("depth is null").select("__h", "bytes", F.concat("base", _bit_text(F.col("cell"), F.lit(STEP))).alias("base"))
-        if too_large.isEmpty():
-            break
-    else:
-        return _with_pages(rows, placed, pending, limit, df)
-    return _finish(rows.join(placed, "__h"), df)
+        if depths.where("depth is null").isEmpty():
+            return _finish(rows.join(placed, "__h"), df)
+        pending = cut(found.where("depth is null").select("__h", "bytes", F.concat("base", _bit_text(F.col("cell"), F.lit(step))).alias("base")))
+    return _with_pages(rows, placed, pending, limit, df)
 
 
 def _with_pages(rows: DataFrame, placed: DataFrame, pending: DataFrame, limit: int, df: DataFrame) -> DataFrame:

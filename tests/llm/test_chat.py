@@ -29,3 +29,16 @@ def test_extra_columns_and_empty(spark):
     df = spark.createDataFrame(rows, TURNS + ", rolling string, whole string")
     assert chat.format_chats(df).count() == 1
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_many_turns_take_linear_time(spark):
+    """One conversation of 20,000 turns, and each tenth of it as a snapshot."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t}") for c, n in ((1, 20_000), *((10 + i, 2_000 * i) for i in range(1, 10))) for t in range(n)]
+    out = chat.format_chats(spark.createDataFrame(rows, TURNS).repartition(4)).select("conv_id", "n_turns").collect()
+    assert [tuple(r) for r in out] == [(1, 20_000)]
+
+
+def test_prefixes_in_another_order_stay(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "user", "c"), (2, 0, "user", "b"), (2, 1, "user", "a"), (3, 0, "user", "a"), (3, 5, "user", "b"), (4, 0, "user", "b")]
+    got = {r.conv_id for r in chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got == {1, 2}

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -48,6 +49,86 @@ def test_flow_uses_overlap_and_repeats_last():
         assert sum(v for (q, _), v in flows.items() if q == p) == size
 
 
+def residual_has_no_cheaper_way(patterns, quotas, flows, most):
+    """Whether no cycle of the residual graph costs less than nothing: the flow is of least cost for its amount."""
+    ends, arcs = ["start", "end", *patterns, *[("q", s) for s in quotas]], []
+    for p, (members, size) in patterns.items():
+        sent = sum(flows[p, s] for s in members)
+        for copy in range(most):
+            used = min(max(sent - copy * size, 0), size)
+            arcs += [("start", p, copy)] * (used < size) + [(p, "start", -copy)] * (used > 0)
+        for s in members:
+            arcs += [(p, ("q", s), 0)] * (flows[p, s] < most * size) + [(("q", s), p, 0)] * (flows[p, s] > 0)
+    for s, quota in quotas.items():
+        sent = sum(f for (_, t), f in flows.items() if t == s)
+        assert sent <= round(quota)
+        arcs += [(("q", s), "end", 0)] * (sent < round(quota)) + [("end", ("q", s), 0)] * (sent > 0)
+    far = dict.fromkeys(ends, 0)
+    for _ in range(len(ends)):
+        moved = False
+        for a, b, c in arcs:
+            if far[a] + c < far[b]:
+                far[b], moved = far[a] + c, True
+        if not moved:
+            break
+    reach = {"start"}
+    for _ in ends:
+        reach |= {b for a, b, _ in arcs if a in reach}
+    return not moved and "end" not in reach
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_is_the_largest_of_least_cost(seed):
+    r = random.Random(seed)
+    names = ["a", "b", "c", "d", None]
+    patterns = {str(i): (r.sample(names, r.randrange(1, 4)), r.randrange(1, 200)) for i in range(9)}
+    quotas = {s: float(r.randrange(0, 500)) for s in names}
+    assert residual_has_no_cheaper_way(patterns, quotas, mixing.route(patterns, quotas, 3), 3)
+
+
+def test_selection_matches_brute_force(spark):
+    """Every document's copies, from a plain walk along each pattern's line."""
+    df = documents(spark, [(i, prose(i, 3 + i % 23), "en", "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(600)])
+    members = F.when(F.col("doc_id") % 11 == 0, F.array(F.lit("s1"), F.lit("s2"))).when(F.col("doc_id") % 13 == 0, F.array().cast("array<string>")).otherwise(F.array("source"))
+    tie = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), F.to_json(F.array_sort(members)), F.col("n"))
+    rows = df.withColumn("n", F.size(F.split("text", " ")).cast("long")).select("doc_id", "n", F.array_sort(members).alias("m"), tie.alias("h")).collect()
+    lines, sizes = defaultdict(list), defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.h & (1 << 64) - 1, r.doc_id)):
+        lines[tuple(r.m)].append(r)
+        for s in r.m:
+            sizes[s] += r.n
+    quota = mixing.targets(dict(sizes))
+    whole = {m: sum(r.n for r in line) for m, line in lines.items()}
+    flows = mixing.route({str(m): (list(m), whole[m]) for m in lines if m}, quota)
+    want = {}
+    for m, line in lines.items():
+        at, flow = 0, sum(flows[str(m), s] for s in m)
+        for r in line:
+            middle = at + r.n // 2
+            want[r.doc_id] = sum(middle + k * whole[m] < flow for k in range(3)) if r.n else 0
+            at += r.n
+    got = {r.doc_id: r for r in mixing.mix(df, members=members).collect()}
+    assert {d: r.copies for d, r in got.items()} == want
+    assert all(got[r.doc_id].target == pytest.approx(quota[r.m[0]]) and got[r.doc_id].source_size == sizes[r.m[0]] for r in rows if r.m)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_of_many_sources_equal_the_drivers(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"host{r.randrange(10**6)}.example": int(r.paretovariate(0.6)) for _ in range(500)} | {None: 40, "": 0}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {x.source: x.target for x in mixing.target_table(table, driver_sources=0).collect()}
+    assert got == pytest.approx(mixing.targets(sizes))
+
+
+def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+    df = documents(spark, [(i, prose(i, 5 + i % 9), "en", f"h{i % 300}") for i in range(900)])
+    one = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 5)
+    monkeypatch.setattr(mixing, "MAX_OVERLAPS", 0)
+    assert sorted(map(str, mixing.mix(df).collect())) == one
+
+
 def test_overlapping_members(spark):
     df = documents(spark, [(i, prose(i, 20), "en", "a") for i in range(200)])
     members = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
