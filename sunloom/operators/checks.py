@@ -26,9 +26,14 @@ def reject(frame: DataFrame, rules: Mapping[str, Column], label: Sequence[str] =
             raise DataError(f"{message}: {row[f'n{i}']} rows, such as {row[f'w{i}']}")
 
 
+def repeated_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Key values that more than one row has, and ``n``, how many have them."""
+    return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def repeated(frame: DataFrame, keys: Sequence[str], limit: int = 5) -> list[tuple]:
     """Up to ``limit`` key values that more than one row has."""
-    rows = frame.groupBy(*keys).count().where("count > 1").orderBy(*keys).limit(limit).collect()
+    rows = repeated_keys(frame, keys).orderBy(*keys).limit(limit).collect()
     return [tuple(r[k] for k in keys) for r in rows]
 
 
@@ -42,6 +47,11 @@ def require_rows(frame: DataFrame, what: str) -> None:
         raise DataError(f"{what} has no rows")
 
 
+def missing_keys(frame: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of ``frame`` that ``known`` lacks."""
+    return frame.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> int:
     """How many keys of ``a`` are also in ``b``."""
     return a.select(key).join(b.select(key), key, "left_semi").distinct().count()

@@ -161,13 +161,19 @@ def check_inputs(frame: DataFrame, settings: Settings, ids: Sequence[str] | None
         raise FactorError(f"{row[0]['problem']} (station {row[0]['station_id']}, origin {row[0]['timestamp']})")
 
 
+def finite_shares(frame: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(name, n_bad, finite_share) of every column, in one pass."""
+    terms = [F.struct(F.lit(n).alias("name"), F.count_if(~finite(F.col(f"`{n}`"))).alias("n_bad"), F.avg(finite(F.col(f"`{n}`")).cast("double")).alias("finite_share")) for n in names]
+    return frame.agg(F.array(*terms).alias("all")).select(F.inline("all"))
+
+
 def check_outputs(frame: DataFrame, names: Sequence[str]) -> dict[str, float]:
     """The finite share of every factor column; raises on a value that isn't finite, naming column, station and origin."""
     if not names:
         return {}
-    shares = frame.agg(*[F.avg(finite(F.col(f"`{n}`")).cast("double")).alias(f"s{i}") for i, n in enumerate(names)]).first()
-    bad = [n for i, n in enumerate(names) if shares[i] is not None and shares[i] < 1]
+    shares = {r["name"]: r for r in finite_shares(frame, names).collect()}
+    bad = [n for n in names if shares[n]["n_bad"]]
     if bad:
         row = frame.where(~finite(F.col(f"`{bad[0]}`"))).orderBy("timestamp", "station_id", STEP).select("station_id", "timestamp", STEP).first()
-        raise FactorError(f"{bad[0]} isn't finite at station {row[0]}, origin {row[1]}, step {row[2]}")
-    return {n: 1.0 if shares[i] is None else shares[i] for i, n in enumerate(names)}
+        raise FactorError(f"{bad[0]} isn't finite in {shares[bad[0]]['n_bad']} rows, first at station {row[0]}, origin {row[1]}, step {row[2]}")
+    return {n: 1.0 if shares[n]["finite_share"] is None else shares[n]["finite_share"] for n in names}

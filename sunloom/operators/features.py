@@ -15,7 +15,7 @@ from sunloom.functions.arrays import finite
 from sunloom.operators import checks
 from sunloom.operators.factors import add_factors
 from sunloom.operators.factors.base import STEP
-from sunloom.operators.factors.registry import check_inputs, output_names
+from sunloom.operators.factors.registry import check_inputs, check_outputs, output_names
 from sunloom.settings import Settings
 from sunloom.sources import sites, stations
 
@@ -92,12 +92,13 @@ def vector(settings: Settings, factor_ids: Sequence[str] | None = ()) -> Column:
 
 
 def load(spark: SparkSession, data, settings: Settings, require_target: bool = True, factor_ids: Sequence[str] | None = (), check_ids: bool = True) -> DataFrame:
-    """From station files or a frame to the feature frame: scan, prune by role, attach sites, build, check row ids."""
+    """From station files or a frame to the feature frame: scan, prune by role, attach sites, build, check row ids and that every factor value is finite."""
     origins = stations.prune_by_role(stations.scan(spark, data, settings, require_target, factor_ids), settings)
     origins = sites.attach(origins, sites.load_sites(spark, settings))
     frame = build(origins, settings, require_target, factor_ids)
     if check_ids:
         checks.require_unique(frame, ["row_id"], "row ids")
+    check_outputs(frame, output_names(factor_ids, settings))
     return frame
 
 

@@ -33,6 +33,44 @@ def regression(capacity: float, prediction: str = "prediction", prefix: str = ""
     return [v.alias(prefix + n) for n, v in zip(METRICS, values, strict=True)]
 
 
+#: Additive terms of the metrics over a group of predictions: count, and sums of error, its size and its square.
+MOMENTS = ("n", "e", "a", "s")
+
+
+def moments(predictions: DataFrame, keys: Sequence[str] = (STEP, "station_id"), sides: Sequence[str] = ("",)) -> DataFrame:
+    """Additive terms by the keys and the target's day: every metric table is a roll-up of this small one.
+
+    ``sides`` are the endings of the prediction columns.
+    """
+    terms = [F.count(F.lit(1)).alias("__n")]
+    for side in sides:
+        e = error(f"prediction{side}")
+        terms += [F.sum(v).alias(f"__{m}{side}") for m, v in zip(MOMENTS[1:], (e, F.abs(e), e * e), strict=True)]
+    if "prediction_ratio" in predictions.columns:
+        e = error("prediction_ratio", "groundtruth_ratio")
+        terms.append(F.sum(e * e).alias("__r"))
+    return predictions.groupBy(*keys, F.to_date("target_timestamp").alias("date")).agg(*terms)
+
+
+def _are_moments(frame: DataFrame) -> bool:
+    return "__n" in frame.columns
+
+
+def rolled(capacity: float, side: str = "", prefix: str = "") -> list[Column]:
+    """``regression`` over rows of ``moments``."""
+    n = F.sum("__n")
+    root = F.sqrt(F.sum(f"__s{side}") / n)
+    values = (root, F.sum(f"__a{side}") / n, F.sum(f"__e{side}") / n, root / capacity, 1.0 - root / capacity)
+    return [v.alias(prefix + name) for name, v in zip(METRICS, values, strict=True)]
+
+
+def _scores(frame: DataFrame, capacity: float) -> list[Column]:
+    """Metrics and sample count of predictions, or of their moments."""
+    if _are_moments(frame):
+        return [*rolled(capacity), F.sum("__n").alias("sample_count")]
+    return [*regression(capacity), F.count(F.lit(1)).alias("sample_count")]
+
+
 def guard(predictions: DataFrame, columns: Sequence[str] = ("groundtruth", "prediction")) -> None:
     """Predictions to be scored are there and finite."""
     require_rows(predictions, "the prediction frame")
@@ -46,14 +84,16 @@ def horizon_label(minutes: int = 15) -> Column:
 
 def by_horizon(predictions: DataFrame, capacity: float) -> DataFrame:
     """One row per step, with sample and station counts and, if ratios are there, their rmse."""
-    more = [F.count(F.lit(1)).alias("sample_count"), F.count_distinct("station_id").alias("station_count")]
-    if "prediction_ratio" in predictions.columns:
+    more = [F.count_distinct("station_id").alias("station_count")]
+    if "__r" in predictions.columns:
+        more.append(F.sqrt(F.sum("__r") / F.sum("__n")).alias("ratio_rmse"))
+    elif "prediction_ratio" in predictions.columns:
         more.append(rmse(error("prediction_ratio", "groundtruth_ratio")).alias("ratio_rmse"))
-    return predictions.groupBy(STEP).agg(*regression(capacity), *more)
+    return predictions.groupBy(STEP).agg(*_scores(predictions, capacity), *more)
 
 
 def by_station(predictions: DataFrame, capacity: float) -> DataFrame:
-    return predictions.groupBy(STEP, "station_id").agg(*regression(capacity), F.count(F.lit(1)).alias("sample_count"))
+    return predictions.groupBy(STEP, "station_id").agg(*_scores(predictions, capacity))
 
 
 def station_macro(stations: DataFrame) -> DataFrame:
@@ -71,7 +111,8 @@ def station_macro(stations: DataFrame) -> DataFrame:
 
 def daily(predictions: DataFrame, capacity: float) -> DataFrame:
     """By step, station and target day."""
-    return predictions.groupBy(STEP, "station_id", F.to_date("target_timestamp").alias("date")).agg(*regression(capacity), F.count(F.lit(1)).alias("sample_count"))
+    day = F.col("date") if _are_moments(predictions) else F.to_date("target_timestamp").alias("date")
+    return predictions.groupBy(STEP, "station_id", day).agg(*_scores(predictions, capacity))
 
 
 def monthly(days: DataFrame, capacity: float) -> DataFrame:
@@ -90,15 +131,17 @@ def monthly_summary(months: DataFrame) -> DataFrame:
 
 def pooled_monthly(predictions: DataFrame, capacity: float, keys: Sequence[str] = (STEP,), prediction: str = "prediction", prefix: str = "") -> DataFrame:
     """The primary score: rmse of each target day over all stations, mean over a month's days, score, mean over months."""
-    e = error(prediction)
-    days = predictions.groupBy(*keys, F.to_date("target_timestamp").alias("__date")).agg(rmse(e).alias("__rmse"))
+    if _are_moments(predictions):
+        days = predictions.groupBy(*keys, F.col("date").alias("__date")).agg(F.sqrt(F.sum("__s") / F.sum("__n")).alias("__rmse"))
+    else:
+        days = predictions.groupBy(*keys, F.to_date("target_timestamp").alias("__date")).agg(rmse(error(prediction)).alias("__rmse"))
     months = days.groupBy(*keys, F.month("__date").alias("__month")).agg((1.0 - F.avg("__rmse") / capacity).alias("__score"))
     scores = [F.avg("__score").alias(f"{prefix}mean_monthly_capacity_score"), F.min("__score").alias(f"{prefix}worst_monthly_capacity_score"), F.count(F.lit(1)).alias(f"{prefix}month_count")]
     return months.groupBy(*keys).agg(*scores)
 
 
 def by_horizon_group(predictions: DataFrame, capacity: float, minutes: int = 15) -> DataFrame:
-    return predictions.groupBy(horizon_label(minutes).alias("horizon_group")).agg(*regression(capacity), F.count(F.lit(1)).alias("sample_count"), F.count_distinct("station_id").alias("station_count"), F.min(STEP).alias("first_step"))
+    return predictions.groupBy(horizon_label(minutes).alias("horizon_group")).agg(*_scores(predictions, capacity), F.count_distinct("station_id").alias("station_count"), F.min(STEP).alias("first_step"))
 
 
 def with_primary_score(steps: DataFrame, pooled: DataFrame) -> DataFrame:
@@ -125,8 +168,9 @@ def prediction_vectors(predictions: DataFrame, value: str = "prediction") -> Dat
 
 
 def evaluate(predictions: DataFrame, capacity: float, minutes: int = 15) -> dict[str, DataFrame]:
-    """Every metric table of an evaluation."""
+    """Every metric table of an evaluation, rolled up from one pass over the predictions."""
     guard(predictions)
+    predictions = moments(predictions).cache()
     stations, days = by_station(predictions, capacity), daily(predictions, capacity)
     months, pooled = monthly(days, capacity), pooled_monthly(predictions, capacity)
     return {

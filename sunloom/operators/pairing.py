@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunloom.functions.arrays import finite
@@ -51,41 +51,40 @@ def pair(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str] = KEYS,
     return paired.withColumn("month", F.month("target_timestamp")).withColumn("seed", F.lit(seed).cast("int"))
 
 
-def _sides(capacity: float) -> list[Column]:
-    return [m for s in SIDES for m in metrics.regression(capacity, f"prediction_{s}", f"{s}_")]
-
-
 def compare(paired: DataFrame, capacity: float, groupings: Sequence[Sequence[str]] = GROUPINGS) -> DataFrame:
-    """baseline_*, candidate_* and delta_* of every metric, for all groupings in two passes.
+    """baseline_*, candidate_* and delta_* of every metric, for all groupings, from one pass over the rows.
 
-    One GROUPING SETS aggregation gives the plain metrics, a second the daily
-    errors for the monthly score; null keys stay groups, told from totals by
-    ``grouping`` (the joined names of the grouping's keys).
+    Rows are first summed by all keys and the target's day. GROUPING SETS multiply
+    that small table instead of the rows, and as its sums are additive, plain
+    metrics and the monthly score come out of one chain of roll-ups without a
+    join. Null keys stay groups, told from totals by ``grouping`` (the joined
+    names of the grouping's keys).
     """
     keys = list(dict.fromkeys(k for g in groupings for k in g))
-    sets = [[F.col(k) for k in g] for g in groupings]
-
-    def name(*more: str) -> Column:
-        inside = [F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]
-        return F.concat_ws(",", *inside).alias("grouping") if inside else F.lit("").alias("grouping")
-
-    plain = paired.groupingSets(sets, *keys).agg(name(), *_sides(capacity), F.count(F.lit(1)).alias("sample_count"))
-    dated = paired.withColumn("__date", F.to_date("target_timestamp"))
-    days = dated.groupingSets([[*s, F.col("__date")] for s in sets], *keys, "__date").agg(name(), *[metrics.rmse(metrics.error(f"prediction_{s}")).alias(f"__{s}") for s in SIDES])
+    sides = [f"_{s}" for s in SIDES]
+    terms = ["__n", *[f"__{m}{s}" for s in sides for m in metrics.MOMENTS[1:]]]
+    base = metrics.moments(paired.drop("prediction_ratio"), keys, sides)
+    inside = [F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]
+    name = (F.concat_ws(",", *inside) if inside else F.lit("")).alias("grouping")
+    sets = [[F.col(k) for k in [*g, "date"]] for g in groupings]
+    days = base.groupingSets(sets, *keys, "date").agg(name, *[F.sum(t).alias(t) for t in terms])
     by = ["grouping", *keys]
-    months = days.groupBy(*by, F.month("__date").alias("__month")).agg(*[(1.0 - F.avg(f"__{s}") / capacity).alias(f"__{s}") for s in SIDES])
-    scores = months.groupBy(*by).agg(*[F.avg(f"__{s}").alias(f"{s}_mean_monthly_capacity_score") for s in SIDES])
-    other = scores.withColumnsRenamed({k: f"__k_{k}" for k in by})
-    same = plain["grouping"] == other["__k_grouping"]
-    for k in keys:
-        same = same & plain[k].eqNullSafe(other[f"__k_{k}"])
-    joined = plain.join(other, same).drop(*[f"__k_{k}" for k in by])
+    scores = [(1.0 - F.avg(F.sqrt(F.col(f"__s{s}") / F.col("__n"))) / capacity).alias(f"__score{s}") for s in sides]
+    months = days.groupBy(*by, F.month("date").alias("__month")).agg(*scores, *[F.sum(t).alias(t) for t in terms])
+    plain = [m for s, side in zip(SIDES, sides, strict=True) for m in metrics.rolled(capacity, side, f"{s}_")]
+    whole = months.groupBy(*by).agg(F.sum("__n").alias("sample_count"), *plain, *[F.avg(f"__score_{s}").alias(f"{s}_mean_monthly_capacity_score") for s in SIDES])
     names = [*metrics.METRICS, "mean_monthly_capacity_score"]
-    return joined.select(
+    return whole.select(
         "grouping", *keys, "sample_count", *[f"{s}_{n}" for s in SIDES for n in names], *[(F.col(f"candidate_{n}") - F.col(f"baseline_{n}")).alias(f"delta_{n}") for n in names]
     )
 
 
+def rmse_by_seed_and_step(paired: DataFrame) -> DataFrame:
+    """Both sides' rmse, and their difference, of every seed and step."""
+    sides = [metrics.rmse(metrics.error(f"prediction_{s}")).alias(f"{s}_rmse") for s in SIDES]
+    return paired.groupBy("seed", STEP).agg(F.count(F.lit(1)).alias("sample_count"), *sides).withColumn("delta_rmse", F.col("candidate_rmse") - F.col("baseline_rmse"))
+
+
 def station_macro_delta(stations: DataFrame) -> DataFrame:
     """Over the stations' rows of ``compare``: mean rmses, mean delta, improved share, worst delta."""
     return stations.agg(
@@ -94,6 +93,11 @@ def station_macro_delta(stations: DataFrame) -> DataFrame:
     )
 
 
+def issued_late(frame: DataFrame, column: str, origin: str = "timestamp") -> DataFrame:
+    """Rows whose weather was issued after their origin."""
+    return frame.where(F.col(f"`{column}`") > F.col(f"`{origin}`"))
+
+
 def issue_time_audit(frame: DataFrame, column: str | None, origin: str = "timestamp") -> dict:
     """Whether no weather was issued after its origin. Rows without an issue time can't be verified and are counted."""
     if column is None or column not in frame.columns:

@@ -18,6 +18,9 @@ from sunloom.settings import Settings
 
 #: Cumulative probabilities are kept this far from 0 and 1.
 EDGE = 1e-7
+#: Training rows up to which knots are exact percentiles, and beyond which they come from sketches of a bounded size
+#: whose ranks are off by at most one part in ``ACCURACY`` (knots are a thousandth apart or more).
+EXACT_ROWS, ACCURACY = 2_000_000, 100_000
 
 
 def quantile_count(rows: int, config: dict[str, Any]) -> int:
@@ -69,28 +72,30 @@ class QuantileTransform:
         return {"n_features": len(self.features), "n_quantiles": len(self.probabilities), "features": self.features, "quantiles_sha256": array_hash(self.values), "probabilities_sha256": array_hash(self.probabilities)}
 
 
-def noise(row_id: Column, index: int, seed: int, scale: float) -> Column:
-    """A repeatable normal deviate for a row and feature, from its hash."""
-    u = (F.pmod(F.xxhash64(row_id, F.lit(index), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    v = (F.pmod(F.xxhash64(row_id, F.lit(index), F.lit(~seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def noise(row_id: Column, feature: Column, seed: int, scale: float) -> Column:
+    """A repeatable normal deviate for every cell, from the hash of its row and its feature's position."""
+    u = (F.pmod(F.xxhash64(row_id, feature, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    v = (F.pmod(F.xxhash64(row_id, feature, F.lit(~seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * np.pi) * v) * scale
 
 
-def fit_quantiles(train: DataFrame, vector: Column, names: Sequence[str], config: dict[str, Any], seed: int = 0, accuracy: int | None = None) -> QuantileTransform:
+def fit_quantiles(train: DataFrame, vector: Column, names: Sequence[str], config: dict[str, Any], seed: int = 0, exact_rows: int = EXACT_ROWS) -> QuantileTransform:
     """Quantile knots of the training rows, all features in one grouped aggregation.
 
-    Features are exploded to (feature, value), so no feature is a driver loop and
-    the shuffle is on the feature. ``accuracy`` switches to approximate
-    percentiles with bounded sketches, for tables whose values don't fit.
+    Features are exploded to (feature, value), so no feature is a driver loop.
+    Beyond ``exact_rows`` each task keeps one sketch of bounded size per feature,
+    and only sketches are shuffled; an exact percentile would hold all distinct
+    values of a feature in one task.
     """
-    n = quantile_count(train.count(), config)
+    rows = train.count()
+    n = quantile_count(rows, config)
     probabilities = np.linspace(0.0, 1.0, n)
     scale = float(config.get("noise_std", 0.0))
     exploded = train.select("row_id", F.posexplode(vector).alias("feature", "value"))
     if scale:
-        exploded = exploded.withColumn("value", F.col("value") + noise(F.col("row_id"), 0, seed, scale) * F.lit(1.0))
+        exploded = exploded.withColumn("value", F.col("value") + noise(F.col("row_id"), F.col("feature"), seed, scale))
     points = F.array(*[F.lit(float(p)) for p in probabilities])
-    knots = F.percentile("value", points) if accuracy is None else F.percentile_approx("value", points, accuracy)
+    knots = F.percentile("value", points) if rows <= exact_rows else F.percentile_approx("value", points, ACCURACY)
     rows = exploded.groupBy("feature").agg(knots.alias("knots")).orderBy("feature").collect()
     values = np.array([r["knots"] for r in rows], float).T
     return QuantileTransform(list(names), probabilities, values)
@@ -146,8 +151,12 @@ class Prepared:
     manifest: dict[str, Any]
 
 
-def prepare(train: DataFrame, validation: DataFrame, vector: Column, names: Sequence[str], settings: Settings, fingerprint: bool = True) -> Prepared:
-    """Checks, then features and labels fitted on ``train`` alone and applied to both."""
+def prepare(train: DataFrame, validation: DataFrame, vector: Column, names: Sequence[str], settings: Settings, fingerprint: bool = True, base: int | None = None) -> Prepared:
+    """Checks, then features and labels fitted on ``train`` alone and applied to both.
+
+    The manifest tells rows, the first ``base`` features' values, targets and
+    capacities of both splits apart by hashes.
+    """
     if len(set(names)) < len(names):
         raise DataError("feature names repeat")
     if {"station_id", "station"} & set(names):
@@ -162,13 +171,27 @@ def prepare(train: DataFrame, validation: DataFrame, vector: Column, names: Sequ
     fitted, labels = fit_quantiles(train, vector, names, config, seed), fit_labels(train, settings)
     manifest: dict[str, Any] = {"features": fitted.manifest(), "label": {"mode": labels.mode, "center": labels.center, "scale": labels.scale}}
     if fingerprint:
-        manifest |= {"train_rows": split_fingerprint(train), "validation_rows": split_fingerprint(validation)}
+        own = F.slice(vector, 1, base or len(names))
+        manifest |= {f"{what}_{k}": v for df, what in ((train, "train"), (validation, "validation")) for k, v in split_values(df, own).items()}
     done = [transform(df, vector, fitted).withColumn("label", labels.forward(F.col("target_ratio").cast("double"))) for df in (train, validation)]
     return Prepared(*done, fitted, labels, manifest)
 
 
+#: What a split's hashes are of, beside its row ids.
+SPLIT_COLUMNS = ("target_ratio", "target_power", "capacity")
+
+
+def split_values(frame: DataFrame, features: Column) -> dict[str, dict[str, Any]]:
+    """Row count and order-free hashes of a split: of its rows, and of each row's features, target and capacity. One distributed pass."""
+    cells = {"rows": F.xxhash64("row_id"), "features": F.xxhash64("row_id", features)}
+    cells |= {c: F.xxhash64("row_id", c) for c in SPLIT_COLUMNS if c in frame.columns}
+    aggregates = [a for k, h in cells.items() for a in (F.sum(h.cast("decimal(38,0)")).alias(f"{k}_sum"), F.bit_xor(h).alias(f"{k}_xor"))]
+    row = frame.agg(F.count(F.lit(1)).alias("n"), *aggregates).first()
+    return {k: {"rows": row["n"], "sum_hash": str(row[f"{k}_sum"]), "xor_hash": row[f"{k}_xor"]} for k in cells}
+
+
 def split_fingerprint(frame: DataFrame) -> dict[str, Any]:
-    """Row count and the hash of row ids in the frame's order."""
+    """Row count and the hash of row ids in the frame's order, which passes every row id through the driver: for reports, on request."""
     ordered = frame.orderBy("timestamp", "station_id", "source_file", "row_id").select("row_id")
     n, digest = ordered_hash(r["row_id"] for r in ordered.toLocalIterator())
     return {"rows": n, "row_id_sha256": digest}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import warnings
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from pathlib import Path
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.operators import features, fingerprints, metrics, model, preprocessing, splits
-from sunloom.operators.checks import DataError
+from sunloom.operators.checks import DataError, missing_keys
 from sunloom.operators.factors import selection_manifest
 from sunloom.operators.factors.base import STEP
 from sunloom.settings import Settings, load_settings
@@ -69,10 +70,12 @@ def train(spark: SparkSession, config, data, seed: int | None = None, factor_ids
     rows = frame.groupBy(STEP).count().collect()
     built = time.perf_counter() - began
     vector, names = features.vector(settings, factor_ids), features.feature_names(settings, factor_ids)
-    predictions, per_step = None, {}
+    predictions, per_step, seconds = None, {}, {}
     for step in settings.horizons:
         parts = splits.train_validation(_of_step(frame, step), settings)
-        prepared = preprocessing.prepare(*parts, vector, names, settings)
+        moment = time.perf_counter()
+        prepared = preprocessing.prepare(*parts, vector, names, settings, base=len(features.base_names(settings)))
+        seconds[step] = time.perf_counter() - moment
         fitted = model.fit(prepared.train, prepared.validation, settings, seed)
         where = str(folder / f"h{step:02d}")
         artifact = model.save(fitted, prepared.features, prepared.labels, where, contract, seed)
@@ -84,7 +87,7 @@ def train(spark: SparkSession, config, data, seed: int | None = None, factor_ids
     tables = metrics.evaluate(predictions, settings.score_capacity, settings.minutes)
     manifest = {
         "run_id": folder.name, "seed": seed, "contract": contract, "contract_sha256": fingerprints.json_hash(contract), "rows_by_step": {r[STEP]: r["count"] for r in rows}, "steps": per_step,
-        "feature_build_seconds": built, "environment": model.environment(spark), "trained_stations": [r[0] for r in frame.where(splits.in_period(settings.period("train"))).select("station_id").distinct().orderBy("station_id").collect()],
+        "feature_build_seconds": built, "prepare_seconds_by_step": seconds, "environment": model.environment(spark), "trained_stations": [r[0] for r in frame.where(splits.in_period(settings.period("train"))).select("station_id").distinct().orderBy("station_id").collect()],
     }
     predictions.orderBy("station_id", "timestamp", STEP).write.parquet(str(folder / "validation_predictions"))
     write_tables(tables, str(folder / "metrics"))
@@ -115,6 +118,12 @@ def _run_factors(manifest: dict[str, Any], factor_ids: Sequence[str] | None) ->
     return list(manifest["contract"]["factors"]["factor_ids"] if factor_ids is None else factor_ids)
 
 
+def unseen_stations(frame: DataFrame, manifest: dict[str, Any]) -> list[str]:
+    """Stations of a frame that the run wasn't trained on."""
+    trained = frame.sparkSession.createDataFrame([(s,) for s in manifest["trained_stations"]], "station_id string")
+    return sorted(r[0] for r in missing_keys(frame, trained, "station_id").collect())
+
+
 def evaluate(spark: SparkSession, folder: str, config, data, role: str = "test", factor_ids: Sequence[str] | None = None) -> dict[str, Any]:
     """Score a run's models on the test or confirmation rows; split and evaluation settings must be those of the run."""
     settings, manifest = load_settings(config), read_run(folder)
@@ -125,15 +134,20 @@ def evaluate(spark: SparkSession, folder: str, config, data, role: str = "test",
         raise DataError(f"settings differ from the run's: {changed}")
     frame = splits.evaluation(features.load(spark, data, settings, True, ids), settings, role)
     predictions = _score(spark, folder, frame, settings, ids, True).cache()
-    unseen = sorted({r[0] for r in frame.select("station_id").distinct().collect()} - set(manifest["trained_stations"]))
-    return {"predictions": predictions, "tables": metrics.evaluate(predictions, settings.score_capacity, settings.minutes), "unseen_stations": unseen}
+    return {"predictions": predictions, "tables": metrics.evaluate(predictions, settings.score_capacity, settings.minutes), "unseen_stations": unseen_stations(frame, manifest)}
 
 
 def predict(spark: SparkSession, folder: str, config, data, factor_ids: Sequence[str] | None = None) -> DataFrame:
     """Power vectors per origin; the data needs no target."""
     settings, manifest = load_settings(config), read_run(folder)
     ids = _run_factors(manifest, factor_ids)
+    mine, theirs = run_contract(settings, ids)["features"], manifest["contract"]["features"]
+    absent = [n for n in (*theirs["base_features"], *theirs["factor_features"]) if n not in (*mine["base_features"], *mine["factor_features"])]
+    if absent:
+        raise DataError(f"features of the run that these settings don't make: {absent[:5]}")
     frame = features.load(spark, data, settings, False, ids)
+    if unseen := unseen_stations(frame, manifest):
+        warnings.warn(f"stations that the run hasn't seen: {unseen[:5]}", stacklevel=2)
     return metrics.prediction_vectors(_score(spark, folder, frame, settings, ids, False)).orderBy("station_id", "timestamp")
 
 

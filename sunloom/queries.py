@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from sunloom.functions import arrays as A
 from sunloom.operators import checks, features, fingerprints, metrics, model, pairing, preprocessing, splits
 from sunloom.operators.factors import add_factors
 from sunloom.operators.factors.base import STEP, Inputs
-from sunloom.operators.factors.registry import REGISTRY, output_names, stage_helpers
+from sunloom.operators.factors.registry import REGISTRY, column_name, finite_shares, output_names, stage_helpers
 from sunloom.operators.factors.series import FACTORS as SERIES
 from sunloom.settings import Settings, default_config, load_settings
 from sunloom.sources import sites, stations
@@ -158,6 +159,16 @@ def horizon_with_primary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.with_primary_score(metrics.by_horizon(p, CAPACITY), metrics.pooled_monthly(p, CAPACITY)).select(STEP, "sample_count", "mean_monthly_capacity_score"))
 
 
+@query(
+    "evaluation_rollup",
+    f"""{PREDICTIONS_SQL}{POOLED_SQL}, q AS (SELECT h, avg(score) AS s FROM m GROUP BY h), a AS (SELECT h AS horizon_step, {_metric_sql()}, count(DISTINCT station_id) AS station_count, count(*) AS sample_count FROM p GROUP BY h)
+    SELECT a.*, {r("q.s", "mean_monthly_capacity_score")} FROM a JOIN q ON q.h = a.horizon_step""",
+)
+def evaluation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The horizon table of a whole evaluation, which rolls all tables up from daily sums."""
+    return rounded(metrics.evaluate(predictions(spark, sf_dir), CAPACITY)["horizon_metrics"])
+
+
 @query(
     "horizon_groups",
     f"""{PREDICTIONS_SQL} SELECT CASE WHEN h * 15 <= 60 THEN '0_1h' WHEN h * 15 <= 120 THEN '1_2h' ELSE '2_4h' END AS horizon_group, {_metric_sql()}, count(*) AS sample_count, count(DISTINCT station_id) AS station_count, min(h) AS first_step FROM p GROUP BY 1""",
@@ -226,6 +237,15 @@ def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairing.compare(paired(spark, sf_dir), CAPACITY))
 
 
+@query(
+    "paired_rmse_by_seed",
+    f"""{PREDICTIONS_SQL}, s AS (SELECT seed, h, count(*) AS n, sqrt(avg((b - y) * (b - y))) AS b, sqrt(avg((c - y) * (c - y))) AS c FROM p GROUP BY ALL)
+    SELECT CAST(seed AS INTEGER) AS seed, h AS horizon_step, n AS sample_count, {r("b", "baseline_rmse")}, {r("c", "candidate_rmse")}, {r("c - b", "delta_rmse")} FROM s""",
+)
+def paired_rmse_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairing.rmse_by_seed_and_step(paired(spark, sf_dir)))
+
+
 @query(
     "station_macro_delta",
     f"""{PREDICTIONS_SQL}, s AS (SELECT station_id, sqrt(avg((b - y) * (b - y))) AS b, sqrt(avg((c - y) * (c - y))) AS c FROM p GROUP BY 1)
@@ -250,7 +270,7 @@ def pair_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dup_keys", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checks.repeated_keys(table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
 @query("intersect_row_ids", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -259,15 +279,10 @@ def intersect_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(checks.overlap(table(spark, sf_dir, "orders"), big, "o_orderkey"),)], "n long")
 
 
-@query("unseen_stations", "SELECT CAST(c_custkey AS VARCHAR) AS station_id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders")
+@query("unseen_stations", "SELECT CAST(c_custkey AS VARCHAR) AS station_id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_totalprice > 300000")
 def unseen_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = lambda t, c: table(spark, sf_dir, t).select(F.col(c).cast("string").alias("station_id"))
-    return ids("customer", "c_custkey").subtract(ids("orders", "o_custkey"))
-
-
-@query("distinct_metadata", "SELECT DISTINCT p_brand, p_type, p_size FROM part")
-def distinct_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size").dropDuplicates()
+    ids = lambda t, c: table(spark, sf_dir, t).select("*", F.col(c).cast("string").alias("station_id"))
+    return checks.missing_keys(ids("customer", "c_custkey"), ids("orders", "o_custkey").where("o_totalprice > 300000"), "station_id")
 
 
 def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +296,12 @@ def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITES_SQL = """WITH s AS (SELECT 's' || s_nationkey AS station_id, abs(s_acctbal) + 1.0 AS site_capacity, CAST(s_suppkey % 180 AS DOUBLE) AS site_longitude, CAST(s_suppkey % 90 AS DOUBLE) AS site_latitude, 'Asia/Shanghai' AS site_timezone FROM supplier)"""
 
 
+@query("distinct_metadata", f"{SITES_SQL} SELECT DISTINCT * FROM s")
+def distinct_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_sites(spark, sf_dir)
+    return stations.distinct_sites(rows.unionByName(rows).withColumn("source_file", F.lit("twice")))
+
+
 @query("metadata_conflicts", f"{SITES_SQL} SELECT station_id, count(DISTINCT (site_capacity, site_longitude, site_latitude)) AS n_records FROM s GROUP BY 1 HAVING count(DISTINCT (site_capacity, site_longitude, site_latitude)) > 1")
 def metadata_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.conflicts(supplier_sites(spark, sf_dir))
@@ -310,13 +331,13 @@ def metadata_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("metadata_missing", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS station_id FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def metadata_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("station_id"))
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("station_id")).distinct().join(have, "station_id", "left_anti")
+    return checks.missing_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("station_id")), have, "station_id")
 
 
 @query("issue_time_violations", "SELECT l_orderkey, l_linenumber, l_shipdate AS origin, o_orderdate AS issued FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > l_shipdate")
 def issue_time_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.where("o_orderdate > l_shipdate").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("origin"), F.col("o_orderdate").alias("issued"))
+    return pairing.issued_late(j.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("origin"), F.col("o_orderdate").alias("issued")), "issued", "origin")
 
 
 @query("label_standard", f"SELECT {r('avg(l_extendedprice)', 'center')}, {r('stddev_pop(l_extendedprice)', 'scale')} FROM lineitem")
@@ -334,6 +355,12 @@ def quantile_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(i / 10, *map(float, v)) for i, v in enumerate(fitted.values)], "p double, price double, quantity double"))
 
 
+@query("file_fingerprint")
+def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, bytes and SHA-256 of two table files. No SQL: a query engine's views hide the files."""
+    return fingerprints.file_hashes(spark, [f"{sf_dir}/nation.parquet", f"{sf_dir}/region.parquet"])
+
+
 @query("row_hash", "SELECT o_orderkey, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) AS digest FROM orders")
 def row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", fingerprints.row_hash(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("digest"))
@@ -344,9 +371,19 @@ def set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.set_fingerprint(table(spark, sf_dir, "orders"))
 
 
-@query("ratio_restore", f"SELECT l_orderkey, l_linenumber, {r('least(greatest(l_quantity * (1 - l_discount) / 40, 0), 1.2)', 'ratio')} FROM lineitem")
+@query(
+    "ratio_restore",
+    f"""WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS row_id, CAST(least(greatest(l_quantity * (1 - l_discount) / 40, 0), 1.2) AS FLOAT) AS ratio, 400 + l_suppkey % 7 AS cap, l_quantity AS y FROM lineitem)
+    SELECT row_id, {r("CAST(ratio AS DOUBLE)", "prediction_ratio")}, {r("CAST(CAST(CAST(ratio AS DOUBLE) * cap AS FLOAT) AS DOUBLE)", "prediction")}, {r("y", "groundtruth")} FROM x""",
+)
 def ratio_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.clip(F.col("l_quantity") * (1 - F.col("l_discount")) / 40, *model.PREDICTION_CLIP).alias("ratio")))
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    rows = l.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), F.col("l_suppkey").cast("string").alias("station_id"), F.lit("lineitem").alias("source_file"), F.col("l_shipdate").alias("timestamp"), F.lit(0).alias("occurrence"),
+        F.col("l_shipdate").alias("target_timestamp"), F.lit(16).alias(STEP), (F.lit(400.0) + F.col("l_suppkey") % 7).alias("capacity"), F.col("l_quantity").alias("target_power"), F.col("l_quantity").alias("target_ratio"),
+        (F.col("l_quantity") * (1 - F.col("l_discount")) / 40).alias("raw_prediction"),
+    )
+    return rounded(model.restore(rows, preprocessing.LabelScale("none")).select("row_id", "prediction_ratio", "prediction", "groundtruth"))
 
 
 # Array functions over embeddings -----------------------------------------------------------------------------------
@@ -391,6 +428,22 @@ _array_query("array_stuck", "factor.quality.stuck-shift-score", _series_sql("a")
 _array_query("array_lags", "factor.power.multiscale-lags", ", ".join(r(f"a[-{k}]", f"power_lag_{k}") for k in (1, 2, 4, 8, 16)), tuple(f"power_lag_{k}" for k in (1, 2, 4, 8, 16)))
 
 
+@query(
+    "coverage_finite_fraction",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
+    x AS (SELECT CASE WHEN vec_id % 7 = 0 THEN 'nan'::DOUBLE ELSE a[1] END AS first, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE a[2] END AS second, a[3] AS third FROM e)
+    SELECT 'first' AS name, count(*) FILTER (NOT isfinite(first)) AS n_bad, {r("avg(CASE WHEN isfinite(first) THEN 1.0 ELSE 0.0 END)", "finite_share")} FROM x
+    UNION ALL SELECT 'second', count(*) FILTER (second IS NULL OR NOT isfinite(second)), {r("avg(CASE WHEN isfinite(second) THEN 1.0 ELSE 0.0 END)", "finite_share")} FROM x
+    UNION ALL SELECT 'third', count(*) FILTER (NOT isfinite(third)), {r("avg(CASE WHEN isfinite(third) THEN 1.0 ELSE 0.0 END)", "finite_share")} FROM x""",
+)
+def coverage_finite_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).otherwise(e[0]).alias("first"), F.when(F.col("vec_id") % 11 != 0, e[1]).alias("second"), e[2].alias("third")
+    )
+    return rounded(finite_shares(rows, ["first", "second", "third"]))
+
+
 # Origin rows from events -------------------------------------------------------------------------------------------
 
 ORIGINS_SQL = """
@@ -461,6 +514,20 @@ def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_rows(spark, sf_dir, settings_for(prediction_mode="curve", horizons=[16, 1, 4])).select("row_id")
 
 
+@query(
+    "occurrences",
+    f"""{ORIGINS_SQL}, z AS (SELECT *, 0 AS n FROM pv UNION ALL SELECT *, 1 AS n FROM pv WHERE minute(slot) < 30 UNION ALL SELECT *, 2 AS n FROM pv WHERE minute(slot) = 0)
+    SELECT station || '__' || strftime(slot, '%Y-%m-%dT%H:%M:%S.%f') || '__n' || n || '__h16' AS row_id, CAST(n AS INTEGER) AS occurrence FROM z""",
+)
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins that a file holds up to three times."""
+    settings = settings_for()
+    rows = origins(spark, sf_dir, settings)
+    again = rows.where(F.minute("timestamp") < 30).withColumn("row_order", F.lit(7).cast("long"))
+    third = rows.where(F.minute("timestamp") == 0).withColumn("row_order", F.lit(3).cast("long"))
+    return features.build(rows.unionByName(again).unionByName(third), settings).select("row_id", "occurrence")
+
+
 @query(
     "calendar",
     f"""{ORIGINS_SQL} SELECT station AS station_id, origin, CAST(slot + INTERVAL 240 MINUTES AS VARCHAR) AS target, CAST(dayofyear(slot) AS INTEGER) AS day_of_year, CAST(day(last_day(slot)) - day(slot) AS INTEGER) AS days_left FROM pv""",
@@ -595,16 +662,26 @@ for _id, _parts in _factor_sql().items():
     _factor_query(_id, *_parts)
 
 
-@query(
-    "feature_frame_all_factors",
-    f"{ORIGINS_SQL} SELECT station AS station_id, count(*) AS n_rows, CAST(102 + 108 AS INTEGER) AS n_features FROM pv GROUP BY 1",
-)
+def _all_factors_sql() -> str:
+    """Of every factor output and station, the mean of its rounded values."""
+    parts = []
+    for factor_id, (ctes, source, columns) in _factor_sql().items():
+        group = " GROUP BY station, origin" if source == "sun GROUP" else ""
+        one = f"(WITH only_one AS (SELECT 1){ctes} SELECT station, origin, {columns} FROM {source.removesuffix(' GROUP')}{group})"
+        prefix = column_name(factor_id, "")
+        parts.append(f"SELECT station AS station_id, '{prefix}' || name AS feature, count(*) AS n_rows, round(avg(value), 4) + 0.0 AS mean FROM (UNPIVOT {one} ON COLUMNS(* EXCLUDE (station, origin)) INTO NAME name VALUE value) GROUP BY 1, 2")
+    return f"{ORIGINS_SQL} " + " UNION ALL ".join(parts)
+
+
+@query("feature_frame_all_factors", _all_factors_sql())
 def feature_frame_all_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 22 factors at once, every value finite."""
+    """All 22 factors at once: of every output and station, the mean of its values to six digits."""
     settings = settings_for()
-    rows = feature_rows(spark, sf_dir, settings, tuple(REGISTRY))
-    v = features.vector(settings, list(REGISTRY))
-    return rows.select("station_id", F.size(v).alias("n"), F.forall(v, A.finite).alias("ok")).groupBy("station_id").agg(F.count_if("ok").alias("n_rows"), F.max("n").alias("n_features"))
+    shown = {column_name(f, n) for f, (_, _, columns) in _factor_sql().items() for n in re.findall(r'AS "(\w+)"', columns)}
+    names = [n for n in output_names(list(REGISTRY), settings) if n in shown]
+    rows = rounded(feature_rows(spark, sf_dir, settings, tuple(REGISTRY)).select("station_id", *names))
+    means = rows.groupBy("station_id").agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(n).alias(n) for n in names])
+    return means.unpivot(["station_id", "n_rows"], names, "feature", "mean").withColumn("mean", F.round("mean", 4) + 0.0)
 
 
 def _fitted(spark: SparkSession, sf_dir: str):

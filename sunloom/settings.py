@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from copy import deepcopy
 from dataclasses import dataclass
 from datetime import datetime
+from math import isfinite
 from pathlib import Path
 from typing import Any
 
@@ -40,7 +41,10 @@ class SettingsError(ValueError):
 
 
 def default_config() -> dict[str, Any]:
-    """A complete configuration; stations and periods are placeholders to be set."""
+    """A complete configuration; stations and periods are placeholders to be set.
+
+    Fixed values: keys, default column names and default numbers are the public contract's.
+    """
     return {
         "data": {
             "parquet_root": None,
@@ -156,7 +160,7 @@ class Settings:
 
     @property
     def factor_parameters(self) -> dict[str, float]:
-        return FACTOR_PARAMETERS | {k: float(v) for k, v in self.config.get("factor_parameters", {}).items()}
+        return FACTOR_PARAMETERS | {k: float(v) for k, v in (self.config.get("factor_parameters") or {}).items()}
 
     @property
     def horizons(self) -> list[int]:
@@ -223,6 +227,19 @@ def _check_protected(s: Settings) -> None:
     _require(s.score_capacity > 0, "evaluation.score_capacity has to be positive")
 
 
+def _check_parameters(s: Settings) -> None:
+    """Rules of the factors' numbers: all finite, denominators positive, clipping bounds in order."""
+    unknown = sorted(set(s.config.get("factor_parameters") or {}) - set(FACTOR_PARAMETERS))
+    _require(not unknown, f"unknown factor parameters: {unknown}")
+    values = s.factor_parameters
+    wrong = sorted(k for k, v in values.items() if not isfinite(v))
+    _require(not wrong, f"factor parameters that aren't finite: {wrong}")
+    for name in ("clear_sky_index_min_ghi", "faiman_u0"):
+        _require(values[name] > 0, f"factor_parameters.{name} has to be positive")
+    _require(values["faiman_u1"] >= 0, "factor_parameters.faiman_u1 is negative")
+    _require(values["clear_sky_index_clip_lower"] < values["clear_sky_index_clip_upper"], "the bounds of the clear-sky index have to increase")
+
+
 def _check_split(s: Settings) -> None:
     split = s["split"]
     strategy = split.get("validation_strategy", "explicit")
@@ -244,7 +261,7 @@ def _check_split(s: Settings) -> None:
         s.stations(role)
 
 
-CHECKS: tuple[Callable[[Settings], None], ...] = (_check_data, _check_features, _check_protected, _check_split)
+CHECKS: tuple[Callable[[Settings], None], ...] = (_check_data, _check_features, _check_parameters, _check_protected, _check_split)
 
 
 def load_settings(source: Mapping[str, Any] | str | Path | Settings) -> Settings:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.functions.arrays import finite
-from sunloom.operators.checks import DataError, reject
+from sunloom.operators.checks import DataError, missing_keys, reject
 from sunloom.settings import TIMEZONE, Settings
 from sunloom.sources.stations import SITE_COLUMNS, canonical_station
 
@@ -86,7 +86,7 @@ def attach(frame: DataFrame, sites: DataFrame | None) -> DataFrame:
         return frame
     small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
     joined = frame.drop(*SITE_COLUMNS).join(F.broadcast(sites) if small else sites, "station_id", "left")
-    absent = frame.select("station_id").distinct().join(sites, "station_id", "left_anti").orderBy("station_id").limit(5).collect()
+    absent = missing_keys(frame, sites, "station_id").orderBy("station_id").limit(5).collect()
     if absent:
         raise DataError(f"no site metadata for {[r['station_id'] for r in absent]}")
     return joined

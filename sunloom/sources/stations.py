@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.functions.arrays import finite
@@ -20,6 +20,8 @@ from sunloom.operators.factors import needs_irradiance_history
 from sunloom.settings import Settings
 
 IN_MEMORY = "<dataframe>"
+#: Files whose capacities are broadcast at most (about 10 MB).
+BROADCAST_FILES = 100_000
 SITE_COLUMNS = ("site_capacity", "site_longitude", "site_latitude", "site_timezone")
 
 
@@ -107,23 +109,19 @@ def with_capacity(frame: DataFrame, settings: Settings) -> DataFrame:
     """``capacity``: the largest positive capacity of the station's file, for each of its rows.
 
     Grouped and joined back: the groups are files, so a station with a third of
-    all rows is combined before the shuffle instead of being one window.
+    all rows is combined before the shuffle instead of being one window. Up to
+    ``BROADCAST_FILES`` files, counted first, the wide rows aren't moved.
     """
     column = F.expr(f"try_cast(`{settings['data']['capacity_column']}` AS double)")
     positive = F.when(finite(column) & (column > 0), column)
     default = settings["data"].get("default_capacity")
     best = frame.groupBy("source_file", "station_id").agg(F.max(positive).alias("__best"))
     resolved = best.withColumn("capacity", F.coalesce("__best", F.lit(default).cast("double")).cast("float")).drop("__best")
-    missing = resolved.where(~finite(F.col("capacity")) | (F.col("capacity") <= 0)).limit(5).collect()
-    if missing:
-        raise DataError(f"no positive capacity for {[(r['source_file'], r['station_id']) for r in missing]}")
-    return frame.join(resolved, ["source_file", "station_id"])
-
-
-def capacity_by_window(frame: DataFrame, settings: Settings) -> Column:
-    """The same capacity as a window expression, for frames whose groups are known to be small."""
-    column = F.expr(f"try_cast(`{settings['data']['capacity_column']}` AS double)")
-    return F.max(F.when(column > 0, column)).over(Window.partitionBy("source_file", "station_id"))
+    bad = ~finite(F.col("capacity")) | (F.col("capacity") <= 0)
+    files = resolved.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad")).first()
+    if files["bad"]:
+        raise DataError(f"no positive capacity for {[(r['source_file'], r['station_id']) for r in resolved.where(bad).limit(5).collect()]}")
+    return frame.join(F.broadcast(resolved) if files["n"] <= BROADCAST_FILES else resolved, ["source_file", "station_id"])
 
 
 def check_histories(frame: DataFrame, settings: Settings, require_target: bool, irradiance: bool) -> None:
@@ -163,16 +161,20 @@ def prune_by_role(frame: DataFrame, settings: Settings) -> DataFrame:
     return frame if union is None else frame.where(F.col("station_id").isin(union))
 
 
-def in_order(frame: DataFrame) -> DataFrame:
-    """Sorted by origin, station and file, rows of a file in their order. For output only."""
-    return frame.orderBy("timestamp", "station_id", "source_file", "row_order")
+def load_in_order(spark: SparkSession, data: DataFrame | str | Path | Sequence[str | Path], settings: Settings, require_target: bool = True, factor_ids: Sequence[str] | None = ()) -> DataFrame:
+    """``scan`` sorted by origin, station and file, rows of a file in their order. For output only: everything else is order-free."""
+    return scan(spark, data, settings, require_target, factor_ids).orderBy("timestamp", "station_id", "source_file", "row_order")
+
+
+def distinct_sites(frame: DataFrame) -> DataFrame:
+    """The site records that a frame's rows bring, each once."""
+    return frame.select("station_id", *[c for c in SITE_COLUMNS if c in frame.columns]).distinct()
 
 
 def manifest(frame: DataFrame) -> dict:
     """Station count, sorted ids, rows for each, and distinct site metadata where attached."""
     rows = frame.groupBy("station_id").count().orderBy("station_id").collect()
     out = {"station_count": len(rows), "station_ids": [r["station_id"] for r in rows], "rows": {r["station_id"]: r["count"] for r in rows}}
-    site = [c for c in SITE_COLUMNS if c in frame.columns]
-    if site:
-        out["sites"] = [r.asDict() for r in frame.select("station_id", *site).distinct().orderBy("station_id").collect()]
+    if set(SITE_COLUMNS) & set(frame.columns):
+        out["sites"] = [r.asDict() for r in distinct_sites(frame).orderBy("station_id").collect()]
     return out

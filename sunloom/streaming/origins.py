@@ -18,6 +18,7 @@ from sunloom.operators.factors import add_factors
 from sunloom.operators.factors.base import STEP
 from sunloom.operators.features import lag_array, row_id
 from sunloom.settings import Settings
+from sunloom.sources.sites import BROADCAST_SITES
 from sunloom.sources.stations import canonical_station
 
 
@@ -27,10 +28,14 @@ def read(spark: SparkSession, folder: str, schema: StructType, settings: Setting
 
 
 def project(rows: DataFrame, sites: DataFrame, settings: Settings, factor_ids: Sequence[str] | None = ()) -> DataFrame:
-    """Feature rows of a stream (or a batch) of origins; ``sites`` is static, and rows of unknown stations are left out."""
+    """Feature rows of a stream (or a batch) of origins; ``sites`` is static, and a row of an unknown station is an error, as in a batch run."""
     aliases = (settings["data"].get("site_metadata") or {}).get("aliases") or {}
     named = rows.withColumn("station_id", canonical_station(F.col(f"`{settings['data']['station_id_column']}`"), aliases))
-    named = named.withColumn("timestamp", F.col(f"`{settings.columns['timestamp']}`").cast("timestamp_ntz")).join(F.broadcast(sites), "station_id")
+    named = named.withColumn("timestamp", F.col(f"`{settings.columns['timestamp']}`").cast("timestamp_ntz"))
+    small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+    named = named.join(F.broadcast(sites) if small else sites, "station_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("no site metadata for "), F.coalesce("station_id", F.lit("a station without a name"))))
+    named = named.withColumn("site_capacity", F.when(F.col("site_capacity").isNull(), unknown.cast("double")).otherwise(F.col("site_capacity")))
     named = named.withColumn("capacity", F.col("site_capacity").cast("float")).withColumn("occurrence", F.lit(0)).withColumn("lags", lag_array(settings))
     out = add_factors(named, settings, factor_ids)
     target = F.timestamp_add("MINUTE", F.col(STEP) * settings.minutes, F.col("timestamp"))
