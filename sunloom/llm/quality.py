@@ -1,8 +1,9 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-Terms describe how a text is written: the shape of its words (runs of upper and
-lower case letters, digits and each other sign), pairs of neighbouring shapes,
-and how often words repeat. Term counts become tf-idf vectors; a singular value
+Terms are a text's words, hashed, and how it is written: the shape of its words
+(runs of upper and lower case letters, digits and each other sign), pairs of
+neighbouring shapes, and how often words repeat. Both parts become tf-idf vectors
+of their own length, the words weighing ``WORD_WEIGHT``; a singular value
 decomposition of a bounded sample of labelled documents gives the latent space.
 The sample's vectors are broadcast, every document's cosines with all of them
 are computed in blocks, and the nearest vote with their similarity as weight.
@@ -24,8 +25,11 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from sunloom.llm.common import byte_texts, remainder
 from sunloom.llm.hashing import WordHasher
 
-SHAPES, PAIRS, REPEATS = 384, 512, 64
-TERMS = SHAPES + PAIRS + REPEATS
+SHAPES, PAIRS, REPEATS, WORDS = 384, 512, 64, 1024
+#: Terms of how a text is written, and all terms.
+STYLE = SHAPES + PAIRS + REPEATS
+TERMS = STYLE + WORDS
+WORD_WEIGHT = 0.75
 #: Labelled documents that the model holds at most, latent dimensions, and voters.
 SAMPLE, DIMENSIONS, NEIGHBOURS = 4096, 32, 25
 #: Exponent of the similarity that weighs a vote.
@@ -66,6 +70,7 @@ class TermCounter:
         # Words that repeat: among neighbours, and pairs of words anywhere; each share as one of 16 terms.
         ids = self.hasher(words)
         n = len(ids)
+        out[STYLE:] = np.bincount((ids % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
         pairs = ids[:-1] * np.uint64(3) + ids[1:] if n > 1 else ids[:0]
         shares = ((ids[1:] == ids[:-1]).mean() if n > 1 else 0.0, 1 - len(np.unique(pairs)) / max(len(pairs), 1), 1 - len(np.unique(ids)) / n, min(1.0, np.log2(n) / 16))
         for i, share in enumerate(shares):
@@ -101,7 +106,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(counts) * idf)
+    weighed = np.log1p(counts) * idf
+    return _unit(np.concatenate([_unit(weighed[:, :STYLE]), WORD_WEIGHT * _unit(weighed[:, STYLE:])], axis=1))
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> QualityModel:
@@ -115,7 +121,7 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Term counts and labels of at most ``sample`` documents, those whose keys have the least hashes.
+    """Term counts and labels of at most ``sample`` documents, those whose keys have the least hashes. A key with several texts gives one of them.
 
     A key with several labels has their majority (ties: 1); null labels don't count.
     """
@@ -123,6 +129,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     picked = one.orderBy(F.xxhash64("__key"), "__key").limit(sample)
     # At most ``sample`` rows, so this side may be broadcast.
     joined = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text")).join(F.broadcast(picked), "__key")
+    # Of a key's texts that with the least hash, so that reruns agree.
+    first = F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text")))["__text"].alias("__text")
+    joined = joined.groupBy("__key", "__label").agg(first)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter()
@@ -131,7 +140,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
             packed = [np.concatenate([(at := np.flatnonzero(r)).astype("f4"), r[at]]).astype("f4").tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("__key").cast(pa.string()), batch.column("__label"), pa.array(packed, pa.binary())], ["k", "y", "p"])
 
-    found = joined.mapInArrow(count, "k string, y int, p binary").dropDuplicates(["k"]).limit(sample).collect()
+    found = joined.mapInArrow(count, "k string, y int, p binary").collect()
     found.sort(key=lambda r: (len(r["k"]), r["k"]))
     counts = np.zeros((len(found), TERMS), np.float32)
     for i, r in enumerate(found):

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -147,3 +148,34 @@ def test_training_texts_are_distinct(spark, monkeypatch):
     monkeypatch.setattr(langid, "REACH", 0.0)
     again, names = langid.training_rows(df, "text", "lang")
     assert names.tolist() == langs.tolist() and (again == bits).all()
+
+
+def ranking(scored):
+    """The share of pairs of a good and a bad text that the scores put in order."""
+    good, bad = (np.array([s for s, y in scored if y == k]) for k in (1, 0))
+    return ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+
+
+def test_words_alone_tell_quality(spark):
+    """Texts of the same shapes whose quality lies in their vocabulary."""
+    good, bad = [[a + b for a in x for b in "aeiou"] for x in ("bdfgk", "lmnpr")]
+    rows = [(i, prose(i, 30, good if i % 2 else bad), "en", "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    held = [(r.score, r.doc_id % 2) for r in quality.held_out_quality(documents(spark, rows), labels).collect() if r.held_out]
+    assert ranking(held) > 0.97
+
+
+def test_a_key_with_several_texts_teaches_the_same_each_time(spark):
+    docs, labels = labelled(spark, 120)
+    more = docs.unionByName(documents(spark, [(i, prose(7000 + i, 30).upper(), "en", "a") for i in range(40)]))
+    one, two = (quality.labelled_sample(df, labels, "doc_id", "text", "quality") for df in (more.repartition(3), more.repartition(7, "text")))
+    assert len(one[0]) == 120 and (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/labels.parquet").exists(), reason="needs the driver's tables")
+def test_held_out_ranking_on_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    some = docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
+    held = [(r.score, known[r.doc_id]) for r in quality.held_out_quality(some, labels).collect() if r.held_out and r.doc_id in known]
+    assert ranking(held) >= 0.99
