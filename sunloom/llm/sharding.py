@@ -17,6 +17,8 @@ from sunloom.llm.common import cut, empty_text
 
 #: Hash bits in all, and bits resolved by the first pass and by each further one.
 BITS, FIRST, STEP = 60, 20, 4
+#: Depths of the first pass up to which prefixes are broadcast: at most 2^17 of them.
+SHALLOW = 16
 PRODUCTION_LIMIT = 16 * 1024 * 1024
 
 
@@ -34,8 +36,14 @@ def _cell_depths(cells: DataFrame, limit: int, step: int) -> DataFrame:
     """For each (base, cell): the least number of its ``step`` bits at which its bucket fits; null if none does."""
     nodes = cells.select("base", "cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(step))).alias("depth"))
     nodes = nodes.withColumn("prefix", _prefix(F.col("cell"), F.col("depth"), step))
-    over = nodes.groupBy("base", "depth", "prefix").agg(F.sum("bytes").alias("total")).where(F.col("total") > limit)
-    parents = nodes.join(over.select("base", "depth", "prefix"), ["base", "depth", "prefix"], "left_semi")
+    key = ["base", "depth", "prefix"]
+    over = nodes.groupBy(*key).agg(F.sum("bytes").alias("total")).where(F.col("total") > limit).select(*key)
+    if step > SHALLOW:
+        # All cells are below the few shortest prefixes, of which a table without bases has fewer than 2^(SHALLOW + 1).
+        over, short = cut(over), F.col("depth") <= SHALLOW
+        parents = nodes.where(short).join(F.broadcast(over.where(short)), key, "left_semi").unionByName(nodes.where(~short).join(over.where(~short), key, "left_semi"))
+    else:
+        parents = nodes.join(over, key, "left_semi")
     deep = parents.groupBy("base", "cell").agg(F.count(F.lit(1)).alias("n_over"))
     return cells.select("base", "cell").join(deep, ["base", "cell"], "left").select(
         "base", "cell", F.when(F.coalesce("n_over", F.lit(0)) <= step, F.coalesce("n_over", F.lit(0)).cast("int")).alias("depth")
