@@ -160,7 +160,17 @@ def environment(spark) -> dict[str, Any]:
     return {"python": platform.python_version(), "spark": spark.version, "numpy": np.__version__, "master": spark.sparkContext.master}
 
 
-def save(fitted: Fitted, features, labels, folder: str, contract: dict[str, Any], seed: int) -> dict[str, Any]:
+def _folder_hash(folder: Path) -> str:
+    """Hash of a saved model's files, by name; checksums and markers of the writer aside."""
+    names = sorted(p for p in folder.rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
+    return json_hash([[p.relative_to(folder).as_posix(), file_hash(p)] for p in names])
+
+
+def _learned(features) -> str:
+    return tensors_hash({"probabilities": features.probabilities, "values": features.values})
+
+
+def save(fitted: Fitted, features, labels, folder: str, contract: dict[str, Any], seed: int, step: int | None = None, stations: list[str] | None = None) -> dict[str, Any]:
     """Model, knots and history, then the manifest, which marks the folder as whole."""
     path = Path(folder)
     path.mkdir(parents=True, exist_ok=True)
@@ -168,34 +178,50 @@ def save(fitted: Fitted, features, labels, folder: str, contract: dict[str, Any]
     np.savez(path / "quantiles.npz", probabilities=features.probabilities, values=features.values)
     (path / "history.json").write_text(json.dumps(fitted.history))
     manifest = {
-        "estimator": fitted.kind, "seeds": seeds(seed), "features": features.features, "label": {"mode": labels.mode, "center": labels.center, "scale": labels.scale},
-        "contract_sha256": json_hash(contract), "quantiles_sha256": file_hash(path / "quantiles.npz"),
-        "model_sha256": tensors_hash(fitted.weights) if isinstance(fitted, EnsembleModel) else None,
+        "estimator": fitted.kind, "seeds": seeds(seed), "features": features.features, "n_features": len(features.features), "label": {"mode": labels.mode, "center": labels.center, "scale": labels.scale},
+        "step": step, "trained_stations": stations, "contract_sha256": json_hash(contract), "quantiles_sha256": file_hash(path / "quantiles.npz"), "learned_sha256": _learned(features),
+        "history_sha256": file_hash(path / "history.json"), "model_sha256": tensors_hash(fitted.weights) if isinstance(fitted, EnsembleModel) else _folder_hash(path / "model"),
     }
+    manifest["manifest_sha256"] = json_hash(manifest)
     (path / "artifact_manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=1))
     return manifest
 
 
-def load(folder: str, contract: dict[str, Any]):
-    """(fitted, quantiles, labels, manifest) of a saved folder; any difference from its manifest or the contract is an error."""
+def load(folder: str, contract: dict[str, Any], step: int | None = None):
+    """(fitted, quantiles, labels, manifest) of a saved folder; any difference from its manifest, the contract or the step is an error."""
     from sunloom.operators.preprocessing import LabelScale, QuantileTransform
 
     path = Path(folder)
     if not (path / "artifact_manifest.json").exists():
         raise DataError(f"{folder} isn't a finished artifact")
     manifest = json.loads((path / "artifact_manifest.json").read_text())
-    if manifest["contract_sha256"] != json_hash(contract):
-        raise DataError(f"{folder} was trained under another contract")
-    if manifest["quantiles_sha256"] != file_hash(path / "quantiles.npz"):
-        raise DataError(f"the quantiles in {folder} were changed")
+    said = contract.get("features", {})
+    promised = [*said.get("base_features", []), *said.get("factor_features", [])]
+    rules = {
+        "its manifest was changed": manifest["manifest_sha256"] != json_hash({k: v for k, v in manifest.items() if k != "manifest_sha256"}),
+        "it was trained under another contract": manifest["contract_sha256"] != json_hash(contract),
+        f"it isn't of step {step}": step is not None and manifest["step"] != step,
+        "its features aren't the contract's": bool(promised) and manifest["features"] != promised,
+        "its features and their number differ": manifest["n_features"] != len(manifest["features"]),
+        "its quantiles were changed": manifest["quantiles_sha256"] != file_hash(path / "quantiles.npz"),
+        "its history was changed": manifest["history_sha256"] != file_hash(path / "history.json"),
+    }
+    if broken := [k for k, bad in rules.items() if bad]:
+        raise DataError(f"{folder}: {broken}")
     stored = np.load(path / "quantiles.npz")
     features = QuantileTransform(manifest["features"], stored["probabilities"], stored["values"])
+    if features.values.shape != (len(features.probabilities), manifest["n_features"]):
+        raise DataError(f"{folder}: its quantiles aren't of {manifest['n_features']} features")
+    if _learned(features) != manifest["learned_sha256"]:
+        raise DataError(f"{folder}: its learned state differs")
     history = json.loads((path / "history.json").read_text())
     if manifest["estimator"] == "ensemble":
         fitted: Any = EnsembleModel(dict(np.load(path / "model.npz")), history)
-        if tensors_hash(fitted.weights) != manifest["model_sha256"]:
-            raise DataError(f"the model in {folder} was changed")
+        found = tensors_hash(fitted.weights)
     else:
+        found = _folder_hash(path / "model")
         kind = {"linear": LinearRegressionModel, "trees": GBTRegressionModel}[manifest["estimator"]]
         fitted = SparkModel(manifest["estimator"], kind.load(f"{folder}/model"), history)
+    if found != manifest["model_sha256"]:
+        raise DataError(f"{folder}: its model was changed")
     return fitted, features, LabelScale(**manifest["label"]), manifest

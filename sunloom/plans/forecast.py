@@ -69,6 +69,7 @@ def train(spark: SparkSession, config, data, seed: int | None = None, factor_ids
     frame = features.load(spark, data, settings, True, factor_ids).cache()
     rows = frame.groupBy(STEP).count().collect()
     built = time.perf_counter() - began
+    trained = [r[0] for r in frame.where(splits.in_period(settings.period("train"))).select("station_id").distinct().orderBy("station_id").collect()]
     vector, names = features.vector(settings, factor_ids), features.feature_names(settings, factor_ids)
     predictions, per_step, seconds = None, {}, {}
     for step in settings.horizons:
@@ -78,7 +79,7 @@ def train(spark: SparkSession, config, data, seed: int | None = None, factor_ids
         seconds[step] = time.perf_counter() - moment
         fitted = model.fit(prepared.train, prepared.validation, settings, seed)
         where = str(folder / f"h{step:02d}")
-        artifact = model.save(fitted, prepared.features, prepared.labels, where, contract, seed)
+        artifact = model.save(fitted, prepared.features, prepared.labels, where, contract, seed, step, trained)
         own = model.restore(fitted.predict(prepared.validation), prepared.labels)
         predictions = own if predictions is None else predictions.unionByName(own)
         best = min(fitted.history, key=lambda h: (h["rmse"], h["epoch"]))
@@ -87,7 +88,7 @@ def train(spark: SparkSession, config, data, seed: int | None = None, factor_ids
     tables = metrics.evaluate(predictions, settings.score_capacity, settings.minutes)
     manifest = {
         "run_id": folder.name, "seed": seed, "contract": contract, "contract_sha256": fingerprints.json_hash(contract), "rows_by_step": {r[STEP]: r["count"] for r in rows}, "steps": per_step,
-        "feature_build_seconds": built, "prepare_seconds_by_step": seconds, "environment": model.environment(spark), "trained_stations": [r[0] for r in frame.where(splits.in_period(settings.period("train"))).select("station_id").distinct().orderBy("station_id").collect()],
+        "feature_build_seconds": built, "prepare_seconds_by_step": seconds, "environment": model.environment(spark), "trained_stations": trained,
     }
     predictions.orderBy("station_id", "timestamp", STEP).write.parquet(str(folder / "validation_predictions"))
     write_tables(tables, str(folder / "metrics"))
@@ -107,7 +108,7 @@ def read_run(folder: str) -> dict[str, Any]:
 def _score(spark: SparkSession, folder: str, frame: DataFrame, settings: Settings, factor_ids: Sequence[str] | None, truth: bool) -> DataFrame:
     contract, out = run_contract(settings, factor_ids), None
     for step in settings.horizons:
-        fitted, knots, labels, _ = model.load(f"{folder}/h{step:02d}", contract)
+        fitted, knots, labels, _ = model.load(f"{folder}/h{step:02d}", contract, step)
         ready = preprocessing.transform(_of_step(frame, step), features.vector(settings, factor_ids), knots)
         own = model.restore(fitted.predict(ready), labels, truth)
         out = own if out is None else out.unionByName(own)

@@ -245,3 +245,32 @@ def test_rows_come_in_order(spark):
 def test_unseen_stations(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",)], "station_id string")
     assert forecast.unseen_stations(df, {"trained_stations": ["a", "c"]}) == ["b"]
+
+
+def test_changed_artifacts_are_refused(spark, tmp_path):
+    """Each file of a saved step, its manifest, its step and its contract."""
+    from sunloom.operators import model
+
+    names = ["x", "y"]
+    train = spark.range(300).select(F.concat(F.lit("r"), "id").alias("row_id"), F.array(F.rand(1), F.rand(2)).alias("v"))
+    knots = preprocessing.fit_quantiles(train, F.col("v"), names, {"noise_std": 0.0})
+    weights = {"first": np.ones((2, 3))}
+    contract = {"features": {"base_features": names, "factor_features": []}}
+    fresh = lambda n: model.save(model.EnsembleModel(weights, [{"epoch": 1, "rmse": 0.5}]), knots, preprocessing.LabelScale("none"), str(tmp_path / n), contract, 3, 16, ["s"])
+    fresh("good")
+    fitted, again, labels, manifest = model.load(str(tmp_path / "good"), contract, 16)
+    assert np.array_equal(again.values, knots.values) and manifest["trained_stations"] == ["s"] and fitted.history == [{"epoch": 1, "rmse": 0.5}]
+    for step, other, why in ((8, contract, "step 8"), (16, {"features": {"base_features": ["y", "x"], "factor_features": []}}, "contract")):
+        with pytest.raises(checks.DataError, match=why):
+            model.load(str(tmp_path / "good"), other, step)
+    changes = {
+        "history": lambda d: (d / "history.json").write_text("[]"), "quantiles": lambda d: np.savez(d / "quantiles.npz", probabilities=knots.probabilities, values=knots.values + 1),
+        "model": lambda d: np.savez(d / "model.npz", first=np.zeros((2, 3))), "manifest": lambda d: (d / "artifact_manifest.json").write_text((d / "artifact_manifest.json").read_text().replace('"step": 16', '"step": 15')),
+    }
+    for what, change in changes.items():
+        fresh(what)
+        change(tmp_path / what)
+        with pytest.raises(checks.DataError, match=what):
+            model.load(str(tmp_path / what), contract)
+    with pytest.raises(checks.DataError, match="finished"):
+        model.load(str(tmp_path / "none"), contract)
