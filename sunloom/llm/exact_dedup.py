@@ -18,23 +18,30 @@ from sunloom.llm.common import SPACE_CLASS, cut, empty_text, keep_rows, with_gro
 # Letters of other scripts that may end a chunk, at a word's end or anywhere.
 _WORD_ENDS = r"\u03B1-\u03B8\u03C2\u0430-\u0437\u044B-\u0451\u05D0-\u05D5\u0627-\u062D\u0905-\u0914\u0E01-\u0E0F"
 _ANYWHERE = r"\u3002\uFF0C\u3041-\u304A\u30A1-\u30AA\u4E00-\u4EFF\uAC00-\uADFF"
-#: A chunk has 256 to 1024 characters and ends after a rare letter pair or letter, else at 1024.
-CHUNK_PATTERN = rf"(?s).{{256,1022}}?(?:(?:[aeinorst][dghklmpuy]|[{_WORD_ENDS}])(?=[ \p{{Punct}}])|[{_ANYWHERE}])|.{{1,1024}}"
+#: A chunk has 256 to 1024 characters and ends after a rare letter pair, else at 1024.
+CHUNK_PATTERN = r"(?s).{256,1022}?[aeinorst][dghklmpuy](?=[ \p{Punct}])|.{1,1024}"
+#: The same for texts in other scripts, told by their bytes for each character, where some letters end a chunk too.
+WIDE_PATTERN = rf"(?s).{{256,1022}}?(?:(?:[aeinorst][dghklmpuy]|[{_WORD_ENDS}])(?=[ \p{{Punct}}])|[{_ANYWHERE}])|.{{1,1024}}"
+BYTES_BEYOND_LATIN = 1.25
 
 
 def normalise(text: str | Column) -> Column:
     return F.regexp_replace(empty_text(text), SPACE_CLASS, " ")
 
 
-def chunks_of(text: Column, pattern: str = CHUNK_PATTERN) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def chunks_of(text: Column, pattern: str | None = None) -> Column:
+    """The text's chunks by ``pattern``, or by that of its script: equal texts have equal chunks."""
+    if pattern:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    other = F.octet_length(text) > F.lit(BYTES_BEYOND_LATIN) * F.length(text)
+    return F.when(other, chunks_of(text, WIDE_PATTERN)).otherwise(chunks_of(text, CHUNK_PATTERN))
 
 
 def identifier(chunk: Column, seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(seed), chunk).alias("a"), F.xxhash64(chunk, F.lit(~seed)).alias("b"))
 
 
-def ambiguous_identifiers(texts: DataFrame, column: str, seed: int, pattern: str = CHUNK_PATTERN) -> DataFrame:
+def ambiguous_identifiers(texts: DataFrame, column: str, seed: int, pattern: str | None = None) -> DataFrame:
     """Identifiers that two different chunk texts share.
 
     The distinct of (identifier, chunk) combines copies before the shuffle, so a
@@ -45,7 +52,7 @@ def ambiguous_identifiers(texts: DataFrame, column: str, seed: int, pattern: str
     return distinct.groupBy("id").count().where("count > 1")
 
 
-def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = CHUNK_PATTERN, attempts: int = 4) -> DataFrame:
+def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str | None = None, attempts: int = 4) -> DataFrame:
     """One row per row of ``df``: key, keep_id, group_size, kept and text_sha256.
 
     Null texts count as empty, and empty texts form one group. Texts are equal
