@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from sunloom.llm.common import byte_texts, cut, text_id, without
+from sunloom.llm.common import byte_texts, cut, release_memory, text_id, without
 
 WINDOW, SHARE = 5, 0.8
 #: Bits of the bitmap, by two probes.
@@ -127,7 +127,7 @@ class Columns:
 class Canonicaliser:
     """Texts as arrays of template hashes, kinds and value hashes. Words are remembered up to a fixed number."""
 
-    def __init__(self, most: int = 600_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most = most
         self._clear()
 
@@ -353,6 +353,8 @@ def _candidates(docs: DataFrame, text: str, bitmap: np.ndarray, widths: list[int
         for batch in batches:
             made = [found(t, bits, canonical) for t in byte_texts(batch, "__text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, _WINDOW_TYPE)], [*keep, "windows"])
+        del bits, canonical
+        release_memory()
 
     return chosen.mapInArrow(run, StructType([*(chosen.schema[c] for c in keep), *_fields("windows " + _WINDOWS)]))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sunloom.llm.common import cut, remainder
+from sunloom.llm.common import cut, release_memory, remainder
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -168,14 +168,16 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
     rows are scored each; no rows give no rows.
     """
     names = list(keep or [])
-    chosen = df.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("__text"))
+    # A text that is kept goes to the workers once.
+    read = text if text in names else "__text"
+    chosen = df.select(*[F.col(f"`{c}`") for c in names], *([] if text in names else [F.col(text).alias("__text")]))
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = LanguageModel(*shared.value)
         rows = np.zeros((BATCH, BUCKETS), np.float32)
         for batch in batches:
-            texts, found, scores = batch.column("__text"), [], []
+            texts, found, scores = batch.column(read), [], []
             for start in range(0, batch.num_rows, BATCH):
                 part = texts.slice(start, BATCH)
                 rows[:] = 0
@@ -186,6 +188,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
                 found += [learned.languages[best[i]] if h else UNKNOWN for i, h in enumerate(has)]
                 scores += [float(shares[i, best[i]]) if h else 0.0 for i, h in enumerate(has)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, *out])
+        del learned, rows
+        release_memory()
 
     fields = [f for f in chosen.schema.fields if f.name != "__text"]
     return chosen.mapInArrow(run, StructType([*fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
