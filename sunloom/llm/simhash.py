@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import byte_texts, cut, keep_rows, text_id, with_group
+from sunloom.llm.common import byte_texts, cut, keep_rows, release_memory, text_id, with_group
 from sunloom.llm.hashing import shingle_hashes, words_of
 
 WIDTH, BUDGET, BITS = 4, 4, 64
 #: Rows of one group that one task joins; larger groups are cut into parts, and every two parts meet in some task.
 PART_ROWS = 20_000
+#: Edges up to which a node's neighbours may all meet in one task.
+SPREAD_EDGES = 1_000_000
 #: Node pairs in flight in a task.
 FRONTIER = 1 << 19
 
@@ -46,6 +48,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
         for batch in batches:
             prints = [fingerprint(shingle_hashes(words_of(t), width)) for t in byte_texts(batch, "__text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        release_memory()
 
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -211,33 +214,35 @@ def link_forest(prints: DataFrame, budget: int = BUDGET, part_rows: int = PART_R
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, spread: int | None = None) -> DataFrame:
     """(node, root) of every linked node, root being the component's smallest node.
 
     Alternates large-star and small-star steps; each is one grouped minimum that
-    is combined before the shuffle and one join, in which nodes with very many
-    neighbours are broadcast instead of being dealt by their key. Raises if the
-    components don't settle in ``rounds`` rounds (paths halve in each).
+    is combined before the shuffle and one join. With more than ``spread`` edges (default: ``SPREAD_EDGES``),
+    nodes with very many neighbours are broadcast in the joins instead of being
+    dealt by their key. Raises if the components don't settle in ``rounds``
+    rounds (paths halve in each).
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    n, spread = edges.count(), SPREAD_EDGES if spread is None else spread
 
     def least(both: DataFrame) -> DataFrame:
-        return cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        return cut(low) if n > spread else low
 
-    def joined_least(both: DataFrame, low: DataFrame) -> DataFrame:
-        return with_group(both, low, "u", "n").drop("n")
+    def joined(both: DataFrame, low: DataFrame) -> DataFrame:
+        return (with_group(both, low, "u", "n") if n > spread else both.join(low, "u")).drop("n")
 
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large)
-        small_low = least(large)
-        joined = joined_least(large, small_low)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small_low.select("u", F.col("m").alias("v"))).distinct()
-        small = cut(small)
-        before, edges = edges, small
-        if before.count() == edges.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty():
+        large = cut(joined(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        low = least(large)
+        small = joined(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = cut(small.distinct())
+        before, had, edges = edges, n, small
+        n = edges.count()
+        if had == n and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

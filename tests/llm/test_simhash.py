@@ -112,9 +112,10 @@ def test_documents_match_brute_force(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({c for _, _, c in want})
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("spread", [10**6, 0])
+def test_components_of_chains_and_stars(spark, spread):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long"), spread=spread).collect()}
     assert {r for n, r in got.items() if n > 99} == {100}
     assert {r for n, r in got.items() if 1 < n < 60} == {1}
 
@@ -138,6 +139,7 @@ def test_hot_prints_and_components(spark, monkeypatch):
     from sunloom.llm import common
 
     monkeypatch.setattr(common, "LARGE_GROUP", 3)
+    monkeypatch.setattr(simhash, "SPREAD_EDGES", 0)
     base = prose(1, 300).split()
     rows = [(i, " ".join(base[:i] + ["Changed"] + base[i + 1 :]), "en", "a") for i in range(0, 300, 10)] + [(1000 + i, prose(3, 20), "en", "b") for i in range(40)] + [(2000 + i, prose(50 + i, 30), "en", "b") for i in range(20)]
     df = documents(spark, rows)
