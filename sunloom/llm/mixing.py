@@ -7,7 +7,9 @@ used last and evenly. A source that shares no document with another needs no
 network: its own pattern fills its quota. Documents of a pattern are then laid on
 a line in seeded hash order, and the flows cover that line from its start, as
 often as needed: a document is taken once for each time that its midpoint is
-covered.
+covered. Only one hash range of a pattern holds the line's last cut; documents of
+all other ranges know their copies from the range alone, so they are neither
+ordered nor moved.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import byte_texts, cut
+from sunloom.llm.common import BROADCAST_KEYS, byte_texts, cut, empty_text, release_memory, with_group
 
 PRODUCTION_WEIGHTS = (5, 2, 1)
 #: Copies of a document that a mix may hold at most.
@@ -46,6 +48,7 @@ def word_counts(df: DataFrame, text: str, keep: Sequence[Column]) -> DataFrame:
         for batch in batches:
             size = pa.array([len(t.split()) for t in byte_texts(batch, "__text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), size], [*names, "size"])
+        release_memory()
 
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -182,7 +185,7 @@ def route(patterns: dict[str, tuple[list[str | None], int]], quotas: dict[str |
 
 
 def pattern_plans(patterns: DataFrame, weights: Sequence[float] = PRODUCTION_WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """(pattern, all_size, flow, source_size, target) from (pattern, members, all_size): the words that the mix takes of each pattern."""
+    """(pattern, n, all_size, flow, source_size, target) from (pattern, members, n, all_size): the words that the mix takes of each pattern."""
     spark, patterns = patterns.sparkSession, cut(patterns)
     sources = cut(patterns.select(F.explode("members").alias("source"), "all_size").groupBy("source").agg(F.sum("all_size").alias("source_size")))
     aimed = cut(target_table(sources, weights, most))
@@ -202,13 +205,66 @@ def pattern_plans(patterns: DataFrame, weights: Sequence[float] = PRODUCTION_WEI
         routed = spark.createDataFrame(list(sums.items()), "pattern string, routed long")
     found = patterns.join(aimed, F.try_element_at("members", F.lit(1)).eqNullSafe(F.col("source")) & (F.size("members") > 0), "left").join(F.broadcast(routed), "pattern", "left")
     return found.select(
-        "pattern", "all_size",
+        "pattern", "n", "all_size",
         F.coalesce("routed", F.bround("target").cast("long"), F.lit(0)).alias("flow"),
         F.coalesce("source_size", F.lit(0)).alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"),
     )
 
 
+def _pattern(members: Column) -> Column:
+    return F.coalesce(F.to_json(F.array_sort(F.array_distinct(members))), F.lit("[]"))
+
+
+def _place(key: str, text: str, pattern: Column, seed: int) -> Column:
+    """A document's place on its pattern's line. Rows that repeat in key, members and text share one."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), pattern, F.xxhash64(empty_text(text)))
+
+
+def _range(place: str) -> Column:
+    return F.expr(f"shiftrightunsigned({place}, {64 - COARSE_BITS - FINE_BITS})")
+
+
+def _before(column: str, keys: list[str], order: list[str]) -> Column:
+    return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _with_plan(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """Rows with their pattern's plan. Few patterns are broadcast after their count; of many, large ones."""
+    if plans.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(plans), "pattern")
+    return with_group(rows, plans, "pattern", "n")
+
+
+def _planned(df: DataFrame, key: str, text: str, members: Column, weights: Sequence[float], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Documents without their texts, and for each pattern its copies: ``turns`` of each document, and one more up to ``cut`` words."""
+    hashed = df.withColumn("__h", _place(key, text, _pattern(members), seed))
+    counted = word_counts(hashed, text, [F.col(key).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("members"), F.col("__h").alias("h")])
+    slim = cut(counted.withColumn("pattern", _pattern(F.col("members"))).withColumn("range", _range("h")))
+    by_pattern = slim.groupBy("pattern").agg(F.first("members").alias("members"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all_size"))
+    plans = pattern_plans(by_pattern, weights, most).withColumn("turns", F.expr("try_divide(flow - flow % nullif(all_size, 0), all_size)").cast("long")).withColumn("cut", F.expr("flow % nullif(all_size, 0)"))
+    plans = cut(plans.select("pattern", "n", "source_size", "target", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("cut", F.lit(0)).alias("cut")))
+    sums = cut(slim.groupBy("pattern", "range").agg(F.sum("size").alias("range_size")).withColumn("coarse", F.expr(f"shiftright(range, {FINE_BITS})")))
+    # No window orders more than 128 ranges, however many documents a pattern has.
+    coarse = sums.groupBy("pattern", "coarse").agg(F.sum("range_size").alias("coarse_size"))
+    coarse = coarse.select("pattern", "coarse", _before("coarse_size", ["pattern"], ["coarse"]).alias("coarse_start"))
+    starts = sums.withColumn("fine_start", _before("range_size", ["pattern", "coarse"], ["range"])).join(coarse, ["pattern", "coarse"])
+    starts = starts.select("pattern", "range_size", F.col("range").alias("edge"), (F.col("coarse_start") + F.col("fine_start")).alias("edge_start"))
+    edges = starts.join(plans.select("pattern", "cut"), "pattern").where("cut > 0 and edge_start <= cut and cut < edge_start + range_size").select("pattern", "edge", "edge_start")
+    return slim, cut(plans.join(edges, "pattern", "left"))
+
+
+def _settled(most: int) -> Column:
+    """Copies of a document that isn't in its pattern's edge."""
+    return F.least(F.col("turns") + F.coalesce(F.col("range") < F.col("edge"), F.lit(False)).cast("long"), F.lit(most))
+
+
+def _edge_copies(rows: DataFrame, most: int) -> DataFrame:
+    """``copies`` of documents in the edge of their pattern, in the order of their places."""
+    middle = F.col("edge_start") + _before("size", ["pattern"], ["h", "doc_id"]) + F.expr("size div 2")
+    return rows.withColumn("copies", F.least(F.col("turns") + (middle < F.col("cut")).cast("long"), F.lit(most)))
+
+
 def mix(
     df: DataFrame,
     key: str = "doc_id",
@@ -224,48 +280,45 @@ def mix(
     its ``source`` alone); null is a source of its own, an empty array belongs
     nowhere and is never taken. ``source_size`` and ``target`` are those of the
     first member. Null and empty texts have size 0 and take 0 words. Rows that
-    repeat in key, members and size share one place in the order; they are
+    repeat in key, members and text share one place in the order; they are
     interchangeable. Other columns are not read. No rows give no rows.
     """
-    members = F.array("source") if members is None else members
-    counted = word_counts(df, text, [F.col(key).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("members")])
-    tie = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.to_json("members"), "size")
-    slim = cut(counted.withColumn("pattern", F.coalesce(F.to_json("members"), F.lit("[]"))).withColumn("h", tie))
-    plans = pattern_plans(slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("all_size")), weights, most)
-
-    ranged = slim.withColumn("range", F.expr(f"shiftrightunsigned(h, {64 - COARSE_BITS - FINE_BITS})"))
-    sums = cut(ranged.groupBy("pattern", "range").agg(F.sum("size").alias("range_size")).withColumn("coarse", F.expr(f"shiftright(range, {FINE_BITS})")))
+    slim, plans = _planned(df, key, text, F.array("source") if members is None else members, weights, most, seed)
+    rows, edge = _with_plan(slim, plans), F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
+    done = rows.where(~edge).withColumn("copies", _settled(most)).unionByName(_edge_copies(rows.where(edge), most))
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("copies")).cast("long").alias("copies")
+    return done.select("doc_id", "members", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
-    def before(column: str, keys: list[str], order: list[str]) -> Column:
-        return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    # No window orders more than 128 ranges, however many documents a pattern has.
-    coarse = sums.groupBy("pattern", "coarse").agg(F.sum("range_size").alias("coarse_size"))
-    coarse = coarse.select("pattern", "coarse", before("coarse_size", ["pattern"], ["coarse"]).alias("coarse_start"))
-    starts = sums.withColumn("fine_start", before("range_size", ["pattern", "coarse"], ["range"])).join(coarse, ["pattern", "coarse"])
-    starts = starts.join(plans, "pattern").select("pattern", "range", (F.col("coarse_start") + F.col("fine_start")).alias("start"), "all_size", "flow", "source_size", "target")
-    placed = ranged.withColumn("inside", before("size", ["pattern", "range"], ["h", "doc_id"])).join(starts, ["pattern", "range"])
-    middle = F.col("start") + F.col("inside") + F.expr("size div 2")
-    covers = F.expr("flow - __m - 1 + all_size")  # counts k >= 0 with middle + k * all_size < flow
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(F.col("__covers") / F.col("all_size")))
-    return (
-        placed.withColumn("__m", middle)
-        .withColumn("__covers", F.greatest(covers, F.lit(0)))
-        .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "members", "size", "source_size", "target", F.least("copies", F.lit(most)).cast("long").alias("copies"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-    )
-
-
-def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def mixed_documents(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    members: Column | None = None,
+    weights: Sequence[float] = PRODUCTION_WEIGHTS,
+    most: int = MAX_COPIES,
+    seed: int = SEED,
+) -> DataFrame:
     """The mix itself: rows of ``df`` that are taken, as often as they are taken.
 
-    Rows equal in key and membership are one document of the mix; if repeats of
-    one fall on both sides of a cut, all of them take the larger number.
+    Rows equal in key, membership and text are one document of the mix; if
+    repeats of one fall on both sides of a cut, all of them take the larger number.
     """
-    source = options.get("members") if options.get("members") is not None else F.array("source")
-    chosen = mix(df, key, text, **options).groupBy("doc_id", "members").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    chosen = chosen.select(F.struct(F.col("doc_id").alias("k"), F.to_json("members").alias("m")).alias("__of"), "__copies")
-    own = F.struct(F.col(key).alias("k"), F.to_json(F.array_sort(F.array_distinct(source))).alias("m"))
-    joined = df.withColumn("__own", own).join(chosen, F.col("__own").eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    members = F.array("source") if members is None else members
+    slim, plans = _planned(df, key, text, members, weights, most, seed)
+    inside = F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
+    chosen = cut(_edge_copies(_with_plan(slim, plans).where(inside), most).groupBy("pattern", "h").agg(F.max("copies").alias("__own")))
+    few = chosen.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    edges = (F.broadcast(chosen) if few else chosen).withColumnsRenamed({"pattern": "__pattern", "h": "__h"})
+    names = {c: f"__{c}" for c in plans.columns}
+    plain = plans.withColumnsRenamed(names)
+    placed = df.withColumn("__pattern", _pattern(members)).withColumn("__h", _place(key, text, F.col("__pattern"), seed)).withColumn("__range", _range("__h"))
+    if plans.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        rows = placed.join(F.broadcast(plain), "__pattern")
+    else:
+        rows = with_group(placed, plain, "__pattern", "__n")
+    rows = rows.join(edges, ["__pattern", "__h"], "left")
+    settled = F.least(F.col("__turns") + F.coalesce(F.col("__range") < F.col("__edge"), F.lit(False)).cast("long"), F.lit(most))
+    worded = empty_text(text).rlike(r"[^\x20\x09-\x0D]")
+    copies = F.when(worded, F.coalesce("__own", settled)).otherwise(F.lit(0)).cast("int")
+    return rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in df.columns])

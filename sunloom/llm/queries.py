@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sunloom.llm import chat, decontam, exact_dedup, html_text, langid, lm, mixing, quality, sharding, simhash
 from sunloom.llm.common import table
@@ -15,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op1_mixing`` SQL can express: sizes, and every document's source's size and target."""
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -72,10 +79,31 @@ QUERIES = {
         op8_sharding,
         op9_quality,
         op10_decontamination,
+        mix_targets,
         sharding_small_limit,
     )
 }
 
+#: A source is at its limit if, with all sources of a smaller size by weight at theirs, its share of the rest is above it.
+TARGETS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source
+), o AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(source_size) OVER w, 0) AS size_before, coalesce(sum(weight) OVER w, 0) AS weight_before
+  FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, (total - 3 * size_before) * weight > 3 * source_size * (weights - weight_before) AS full_up FROM o
+), f AS (
+  SELECT source, source_size, CASE WHEN full_up THEN 3.0 * source_size ELSE weight * CAST(total - 3 * coalesce(sum(source_size) FILTER (full_up) OVER (), 0) AS DOUBLE)
+    / (weights - coalesce(sum(weight) FILTER (full_up) OVER (), 0)) END AS target FROM c
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(CAST(target AS DOUBLE), 3) AS target
+FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+"""
+
 CHAT_SQL = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -127,4 +155,4 @@ FROM depths
 """
 
 
-ORACLE_SQL = {"op2_chat_format": CHAT_SQL, "op6_exact_dedup": DEDUP_SQL, "op8_sharding": sharding_sql(), "sharding_small_limit": sharding_sql(SMALL_LIMIT)}
+ORACLE_SQL = {"mix_targets": TARGETS_SQL, "op2_chat_format": CHAT_SQL, "op6_exact_dedup": DEDUP_SQL, "op8_sharding": sharding_sql(), "sharding_small_limit": sharding_sql(SMALL_LIMIT)}

@@ -19,6 +19,8 @@ from sunloom.llm.common import cut, empty_text
 BITS, FIRST, STEP = 60, 20, 4
 #: Depths of the first pass up to which prefixes are broadcast: at most 2^17 of them.
 SHALLOW = 16
+#: Bits of a directory that is broadcast at most: 2^17 slots.
+DIRECTORY_BITS = 17
 PRODUCTION_LIMIT = 16 * 1024 * 1024
 
 
@@ -72,22 +74,53 @@ def shard_documents(df: DataFrame, limit: int = PRODUCTION_LIMIT, key: str = "do
         hash_bits(key, text).alias("__h"),
     )
     slim = cut(rows.groupBy("__h").agg(F.sum("n_bytes").alias("bytes")))
-    pending, placed, done = slim.withColumn("base", F.lit("")), None, 0
+    pending, passes, done = slim.withColumn("base", F.lit("")), [], 0
     while done < BITS:
         step = STEP if done else FIRST
         done += step
         marked = pending.withColumn("cell", F.expr(f"shiftright(__h, {BITS - done}) & {(1 << step) - 1}"))
         cells = cut(marked.groupBy("base", "cell").agg(F.sum("bytes").alias("bytes")))
         depths = cut(_cell_depths(cells, limit, step))
-        found = marked.join(depths, ["base", "cell"])
-        here = found.where("depth is not null").select(
-            "__h", F.concat("base", _bit_text(_prefix(F.col("cell"), F.col("depth"), step), F.col("depth"))).alias("shard")
-        )
-        placed = here if placed is None else placed.unionByName(here)
+        passes.append((marked, depths, step))
         if depths.where("depth is null").isEmpty():
-            return _finish(rows.join(placed, "__h"), df)
-        pending = cut(found.where("depth is null").select("__h", "bytes", F.concat("base", _bit_text(F.col("cell"), F.lit(step))).alias("base")))
-    return _with_pages(rows, placed, pending, limit, df)
+            return _finish(_by_directory(rows, passes), df)
+        found = marked.join(depths.where("depth is null"), ["base", "cell"])
+        pending = cut(found.select("__h", "bytes", F.concat("base", _bit_text(F.col("cell"), F.lit(step))).alias("base")))
+    return _with_pages(rows, _by_hash(passes), pending, limit, df)
+
+
+def _shard_text(step: int) -> Column:
+    return F.concat("base", _bit_text(_prefix(F.col("cell"), F.col("depth"), step), F.col("depth"))).alias("shard")
+
+
+def _by_hash(passes: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
+    """(__h, shard) of every placed hash."""
+    found = [marked.join(depths.where("depth is not null"), ["base", "cell"]).select("__h", _shard_text(step)) for marked, depths, step in passes]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _by_directory(rows: DataFrame, passes: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
+    """Rows with their shard, looked up in the directory by their first hash bits.
+
+    A directory of at most 2^``DIRECTORY_BITS`` slots is broadcast, so that texts
+    aren't moved; beyond, rows are joined by their hash.
+    """
+    shards = None
+    for _, depths, step in passes:
+        own = depths.where("depth is not null").select(_shard_text(step)).distinct()
+        shards = own if shards is None else shards.unionByName(own)
+    shards = cut(shards)
+    deepest = shards.agg(F.coalesce(F.max(F.length("shard")), F.lit(0))).first()[0]
+    if deepest > DIRECTORY_BITS:
+        return rows.join(_by_hash(passes), "__h")
+    width = F.lit(deepest) - F.length("shard")
+    first = F.call_function("shiftleft", F.coalesce(F.conv(F.when(F.length("shard") > 0, F.col("shard")), 2, 10).cast("long"), F.lit(0).cast("long")), width)
+    last = first + F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1
+    slots = shards.select("shard", F.explode(F.sequence(first, last)).alias("__slot"))
+    return rows.withColumn("__slot", F.expr(f"shiftright(__h, {BITS - deepest})")).join(F.broadcast(slots), "__slot").drop("__slot")
 
 
 def _with_pages(rows: DataFrame, placed: DataFrame, pending: DataFrame, limit: int, df: DataFrame) -> DataFrame:

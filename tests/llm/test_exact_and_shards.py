@@ -62,8 +62,9 @@ def test_empty(spark):
     assert sharding.shard_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [200, 1000, 10_000, 10**9])
-def test_shards_match_sql(spark, limit):
+@pytest.mark.parametrize(("limit", "bits"), [(200, 17), (1000, 17), (1000, 2), (10_000, 17), (10**9, 17)])
+def test_shards_match_sql(spark, monkeypatch, limit, bits):
+    monkeypatch.setattr(sharding, "DIRECTORY_BITS", bits)
     df = documents(spark, [(i, prose(i, i % 30), "en", "a") for i in range(300)])
     con = duckdb.connect()
     con.register("d", df.toPandas())
@@ -87,6 +88,16 @@ def test_shards_hold_the_limit(spark):
     assert not any(a != b and b.startswith(a) for a in firsts for b in firsts)
 
 
+def test_splits_beyond_the_first_bits(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FIRST", 4)
+    df = documents(spark, [(i, prose(i, i % 30), "en", "a") for i in range(300)])
+    con = duckdb.connect()
+    con.register("d", df.toPandas())
+    want = sorted(con.execute(sharding_sql(500, table_name="d")).fetchall())
+    assert max(w[2] for w in want) > 4
+    assert sorted((r.doc_id, r.shard, r.shard_depth, r.n_bytes, r.oversized) for r in sharding.shard_documents(df, 500).collect()) == want
+
+
 def test_directory(spark):
     df = documents(spark, [(i, prose(i, 20), "en", "a") for i in range(200)])
     out = sharding.directory(sharding.shard_documents(df, 2000)).collect()

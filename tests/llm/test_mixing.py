@@ -90,7 +90,7 @@ def test_selection_matches_brute_force(spark):
     """Every document's copies, from a plain walk along each pattern's line."""
     df = documents(spark, [(i, prose(i, 3 + i % 23), "en", "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(600)])
     members = F.when(F.col("doc_id") % 11 == 0, F.array(F.lit("s1"), F.lit("s2"))).when(F.col("doc_id") % 13 == 0, F.array().cast("array<string>")).otherwise(F.array("source"))
-    tie = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), F.to_json(F.array_sort(members)), F.col("n"))
+    tie = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), F.to_json(F.array_sort(members)), F.xxhash64("text"))
     rows = df.withColumn("n", F.size(F.split("text", " ")).cast("long")).select("doc_id", "n", F.array_sort(members).alias("m"), tie.alias("h")).collect()
     lines, sizes = defaultdict(list), defaultdict(int)
     for r in sorted(rows, key=lambda r: (r.h & (1 << 64) - 1, r.doc_id)):
@@ -126,7 +126,12 @@ def test_more_sources_than_the_driver_takes(spark, monkeypatch):
     one = sorted(map(str, mixing.mix(df).collect()))
     monkeypatch.setattr(mixing, "DRIVER_SOURCES", 5)
     monkeypatch.setattr(mixing, "MAX_OVERLAPS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_KEYS", 0)
     assert sorted(map(str, mixing.mix(df).collect())) == one
+    copies = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        copies[r.doc_id] += 1
+    assert copies == {r.doc_id: r.copies for r in mixing.mix(df).collect() if r.copies}
 
 
 def test_overlapping_members(spark):
@@ -149,6 +154,15 @@ def test_mixed_documents_repeat_rows(spark):
     assert max(want.values()) > 1 and len(want) < 200
 
 
+def test_rows_without_a_key_are_told_by_their_text(spark):
+    df = documents(spark, [(None, prose(i, 4 + i % 7), "en", "ab"[i % 2]) for i in range(300)])
+    taken = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        taken[r.source] += len(r.text.split())
+    target = {r.members[0]: r.target for r in mixing.mix(df).collect()}
+    assert all(abs(taken[s] - target[s]) <= 20 for s in target)
+
+
 def test_empty(spark):
     assert mixing.mix(awkward(spark).limit(0)).count() == 0
     assert mixing.mixed_documents(awkward(spark).limit(0)).count() == 0
