@@ -241,14 +241,10 @@ class Page:
             self.rooted[i] = inside or (e.root and not shut and not e.boiler)
 
     def blocks(self) -> list[tuple[int, bool]]:
-        """Position of every block that is counted, and whether it is a menu, an advert or a list of links beside the article.
-
-        What lies within an element that is dropped for its role goes with it,
-        so of these only the outermost one is counted.
-        """
+        """Position of every block that is counted, and whether it is a menu, an advert or a list of links beside the article, or a part of one."""
         return [
-            (i, e.boiler or (not self.rooted[i] and 2 * e.linked > e.size))
-            for i, (e, _) in enumerate(self.order) if e.tag in COUNTED and e.size and not self.gone[i]
+            (i, e.boiler or self.gone[i] or (not self.rooted[i] and 2 * e.linked > e.size))
+            for i, (e, _) in enumerate(self.order) if e.tag in COUNTED and e.size
         ]
 
     def look(self) -> int:
@@ -258,6 +254,19 @@ class Page:
             return xxhash.xxh64_intdigest(plain("".join(c for c in self.top.children if isinstance(c, str))).encode("utf-8", "surrogatepass"))
         return xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little") for _, h in longest))
 
+    @staticmethod
+    def _known_below(top: Element, templates: set[int] | frozenset[int]) -> int:
+        """Characters below an element that stand in templates."""
+        known, stack = 0, [top] if templates else []
+        while stack:
+            for c in stack.pop().children:
+                if c.__class__ is Element:
+                    if c.at in templates:
+                        known += c.size
+                    else:
+                        stack.append(c)
+        return known
+
     def text(self, templates: set[int] | frozenset[int] = frozenset()) -> tuple[str, int, int]:
         """The main text, and how many characters went by templates (positions) and by the fallback."""
         out: list[tuple[str, bool]] = []
@@ -276,7 +285,9 @@ class Page:
                 by_template += node.size
                 continue
             if node.boiler or node.tag == "header" and not rooted:
-                by_role += node.size
+                known = self._known_below(node, templates)
+                by_template += known
+                by_role += node.size - known
                 continue
             rooted = self.rooted[i]
             if node.tag == "header":
