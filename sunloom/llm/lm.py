@@ -51,7 +51,7 @@ SHARD_BYTES = 24 * 1024 * 1024
 #: Contexts of a length that are spread at most, times 8: with more shards, the bound on their share stays here (8 MB).
 MOST_HOT = 1 << 17
 #: Files of each table for each slot of the cluster, and at least in all.
-FILES_PER_SLOT, LEAST_FILES = 4, 64
+FILES_PER_SLOT, LEAST_FILES = 4, 1024
 #: Tokens that a task counts at a time, and scores at a time.
 COUNT_TOKENS, SCORE_TOKENS = 1 << 21, 1 << 19
 

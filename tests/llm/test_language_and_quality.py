@@ -179,3 +179,18 @@ def test_held_out_ranking_on_the_tables(spark):
     some = docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
     held = [(r.score, known[r.doc_id]) for r in quality.held_out_quality(some, labels).collect() if r.held_out and r.doc_id in known]
     assert ranking(held) >= 0.99
+
+
+def test_latent_vectors_equal_a_direct_decomposition():
+    r = np.random.default_rng(4)
+    counts = r.poisson(0.3, (60, quality.TERMS)).astype(np.float32)
+    model = quality.fit(counts, r.integers(0, 2, 60).astype(np.float32))
+    idf = np.log(61 / (1 + (counts > 0).sum(axis=0))) + 0.2
+    weighed = np.log1p(counts) * idf
+    style, words = weighed[:, : quality.STYLE], weighed[:, quality.STYLE :]
+    rows = np.concatenate([style / np.linalg.norm(style, axis=1, keepdims=True), quality.WORD_WEIGHT * words / np.linalg.norm(words, axis=1, keepdims=True)], axis=1)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    u, s, _ = np.linalg.svd(rows, full_matrices=False)
+    latent = (u * s)[:, : quality.DIMENSIONS]
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    assert model.vectors @ model.vectors.T == pytest.approx(latent @ latent.T, abs=1e-3)
